@@ -18,7 +18,7 @@ STOPWORDS = (
     "der die das und zu ein eine ist mit von den nicht im auf für sich dem als auch es",
     "el los las y una para con no por se su del al lo como más o sus",
 )
-RULES = ("symbols", "repetition", "dup_lines", "capitals", "bangs", "bars", "word_length", "stopwords", "letters", "length")
+RULES = ("symbols", "repetition", "dup_lines", "echoes", "variety", "capitals", "bangs", "bars", "word_length", "stopwords", "letters", "length")
 
 
 def _repeats(g: Column) -> Column:
@@ -27,7 +27,7 @@ def _repeats(g: Column) -> Column:
 
 
 def base_counts(docs: DataFrame, text_col: str = "text", window: int = 5) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (longs), all by expressions on the row.
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_distinct (words) and n_echoes (words equal to the one before), all longs and expressions on the row.
 
     Nothing is shuffled. The windows of a text are hashed to 64 bits; only a
     text in which some window recurs has its windows sorted.
@@ -55,6 +55,8 @@ def base_counts(docs: DataFrame, text_col: str = "text", window: int = 5) -> Dat
         "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long"),
         "n_dup_lines": (F.size("__q_lines") - F.size(F.array_distinct("__q_lines"))).cast("long"),
         "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
+        "n_distinct": F.size(F.array_distinct("__q_h")).cast("long"),
+        "n_echoes": F.size(F.filter("__q_h", lambda h, i: h == F.get("__q_h", i - 1))).cast("long"),
     }).drop("__q_words", "__q_lines", "__q_h", "__q_g", "__q_s", "__q_at")
 
 
@@ -73,13 +75,15 @@ def _votes(text: Column) -> dict[str, Column]:
         "symbols": three(F.col("n_symbols") / n, 0.15, 0.01),
         "repetition": three(F.col("n_repeat_words") / n, 0.2, 0.0),
         "dup_lines": three(F.col("n_dup_lines") / n, 0.05, 0.0),
+        "echoes": three(F.col("n_echoes") / n, 0.2, 0.02),
+        "variety": F.when((n >= 40) & (F.col("n_distinct") < 3.5 * F.sqrt(n)), -1).when(F.col("n_distinct") >= 5 * F.sqrt(n), 1).otherwise(0),
         "capitals": three(kept(r"[^\p{Lu}]+") / chars, 0.3, 0.1),
         "bangs": three(F.regexp_count(text, F.lit(r"!!")) / n, 0.15, 0.01),
         "bars": three(F.regexp_count(text, F.lit(r"\|")) / n, 0.15, 0.01),
         "word_length": F.when((chars / n < 2) | (chars / n > 15), -1).when(chars / n <= 11, 1).otherwise(0),
-        "stopwords": F.when(F.size(F.filter(words(text), lambda w: w.isin(stop))) / n < 0.02, -1).otherwise(0),
+        "stopwords": F.when((n >= 20) & (F.size(F.filter(words(text), lambda w: w.isin(stop))) / n < 0.02), -1).otherwise(0),
         "letters": F.when(kept(r"[^\p{L}]+") / chars < 0.7, -1).otherwise(0),
-        "length": F.when(F.col("n_words") < 10, -1).when(F.col("n_words") >= 50, 1).otherwise(0),
+        "length": F.when(F.col("n_words") >= 50, 1).otherwise(0),
     }
     return {k: v.cast("int") for k, v in votes.items()}
 
@@ -123,11 +127,11 @@ def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) ->
 def quality_rules(docs: DataFrame, text_col: str = "text", keep_at: float = 0.5, carry: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``carry`` alone) with the base counts, ``votes``, ``quality`` (posterior of good), ``base_failed`` and ``kept`` added.
 
-    Ten rules vote good, bad or abstain on a document. EM estimates how each
+    Twelve rules vote good, bad or abstain on a document. EM estimates how each
     rule votes on good and on bad documents (its accuracy) over all documents,
     and the posterior decides, not an all-must-pass filter. All work on rows
     is DataFrame functions. The driver sees only the counts of the vote
-    patterns, at most 3^10 whatever the input; the posteriors go back in a
+    patterns, at most 3^12 whatever the input; the posteriors go back in a
     table of that bound, broadcast.
 
     Null text has no words. Documents under ten words, or with over 20 % of

@@ -61,5 +61,5 @@ SYMBOLS = """v_starts AS (SELECT p_brand AS file, p_partkey AS symbol_id, p_name
 v_symbols AS (SELECT *, greatest(start_line, coalesce(lead(start_line) OVER (PARTITION BY file ORDER BY start_line) - 1, start_line + 9)) AS end_line FROM v_starts)"""
 HUNKS = """v_brands AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS no, count(*) OVER () AS n FROM (SELECT DISTINCT p_brand FROM part)),
 v_hunks AS (SELECT event_id AS hunk, p_brand AS file, event_id * 7 % 800 AS h_start, event_id * 7 % 800 + 5 AS h_end FROM events JOIN v_brands ON event_id % n = no)"""
-DELIVERIES = "v_deliveries AS (SELECT event_id AS seq, user_id AS session_id, json_extract_string(props, '$.k') AS symbol_id, ts AS at, event_type AS use_type, event_type = 'purchase' AS used FROM events)"
+DELIVERIES = "v_deliveries AS (SELECT event_id AS seq, user_id AS session_id, json_extract_string(props, '$.k') AS symbol_id, ts AS seen, event_type AS use_type, event_type = 'purchase' AS used FROM events)"
 OUTCOMES = "v_outcomes AS (SELECT o_custkey AS task, o_orderpriority AS variant, o_orderstatus = 'F' AS success, o_totalprice AS tokens, o_orderkey AS pos FROM orders)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -45,8 +46,6 @@ def jon_07(spark: SparkSession, sf: str) -> DataFrame:
     stage = F.when(F.col("p_name") == "part 10", 1).when(F.col("p_brand") == "Brand#12", 2).when(F.col("p_type").like("%BRASS%"), 3)
     found = p.select(F.col("p_partkey").alias("id"), stage.alias("stage")).filter("stage is not null")
     best = found.join(F.broadcast(found.agg(F.min("stage").alias("stage"))), "stage")
-    from pyspark.sql import Window as W
-
     return best.select("id", "stage", F.row_number().over(W.partitionBy("stage").orderBy("id")).cast("long").alias("rank"))
 
 
@@ -169,9 +168,9 @@ def set_06(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, "k").select("k", F.size(F.array_except("x", "y")).alias("removed"))
 
 
-@query("set_07_removed_symbols", "SELECT DISTINCT p_partkey AS id FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01'")
+@query("set_07_removed_symbols", "SELECT DISTINCT p_partkey AS id FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity >= 30 AND l_discount > 0.08")
 def set_07(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id")).subtract(table(spark, sf, "lineitem").filter("l_shipdate >= timestamp '1998-01-01'").select("l_partkey"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id")).subtract(table(spark, sf, "lineitem").filter("l_quantity >= 30 and l_discount > 0.08").select("l_partkey"))
 
 
 @query("set_08_ordered_dedup", "SELECT conv_id, string_agg(role, ',' ORDER BY first) AS roles FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY ALL) GROUP BY conv_id")

@@ -17,10 +17,15 @@ def variant_stats(outcomes: DataFrame, base: Column) -> DataFrame:
     )
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's r as an aggregate; null where a side has no variance (Spark's own raises there in ANSI mode)."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     """(n, r, p): r is null under three rows or without variance; p about 2 exp(-t^2 / 2)."""
-    a = df.agg(F.count("*").alias("n"), F.corr(x, y).alias("r0"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy"))
-    r = F.when((F.col("n") >= 3) & (F.col("sx") > 0) & (F.col("sy") > 0), F.col("r0"))
+    a = df.agg(F.count("*").alias("n"), correlation(x, y).alias("r0"))
+    r = F.when(F.col("n") >= 3, F.col("r0"))
     a = a.withColumn("r", r)
     t2 = F.col("r") * F.col("r") * (F.col("n") - 2) / F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0))
     return a.select("n", F.round("r", 8).alias("r"), F.round(F.least(F.lit(1.0), 2 * F.exp(-t2 / 2)), 8).alias("p"))
@@ -31,7 +36,7 @@ def spearman(df: DataFrame, x: str, y: str, pos: str, per: str | None = None) ->
     key = [per] if per else []
     rank = lambda c: F.row_number().over(W.partitionBy(*key).orderBy(c, pos)).cast("double")
     r = df.select(*key, rank(x).alias("rx"), rank(y).alias("ry"))
-    return r.groupBy(*key).agg(F.count("*").alias("n"), F.round(F.corr("rx", "ry"), 8).alias("rho"))
+    return r.groupBy(*key).agg(F.count("*").alias("n"), F.round(correlation("rx", "ry"), 8).alias("rho"))
 
 
 def two_proportions(a: Column, n_a: Column, b: Column, n_b: Column, z: float = 1.96) -> tuple[Column, Column, Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,25 +16,44 @@ from tessera.llm.queries import tokenizer_path
 from tessera.llm.simhash import near_dedup
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Columns that stages read or write; all others pass through under neutral names, so none can clash.
+USED = {"doc_id", "text", "source", "n_chars"}
+
+
+def _apart(stage: Stage) -> Stage:
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        plain = docs.toDF(*[c if c in USED else f"__x{i}" for i, c in enumerate(names)])
+        return stage(spark, plain, sf_dir).select(*plain.columns).toDF(*names)
+
+    run.__name__, run.__doc__ = stage.__name__, stage.__doc__
+    return run
+
+
+@_apart
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents whose posterior is against them, or that fail the base, go."""
-    return quality_rules(docs, carry=docs.columns).filter("kept").select(*docs.columns)
+    return quality_rules(docs, carry=docs.columns).filter("kept")
 
 
+@_apart
 def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: long lines of five or more documents stay in one of them; texts and their lengths change."""
     out = line_dedup(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
+@_apart
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: one document of each group stays."""
-    return near_dedup(docs, shingle=3, radius=2).select(*docs.columns)
+    return near_dedup(docs, shingle=3, radius=2)
 
 
+@_apart
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: each document is there as often as its source's rate draws for it, in a global random order."""
-    return mix_sources(docs, temperature=0.5).select(*docs.columns)
+    return mix_sources(docs, temperature=0.5)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

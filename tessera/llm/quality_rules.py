@@ -137,13 +137,15 @@ def quality_rules(docs: DataFrame, text_col: str = "text", keep_at: float = 0.5,
     Null text has no words. Documents under ten words, or with over 20 % of
     their words in repeated windows, fail the base whatever the posterior.
     Repeated rows each count; an empty table gives an empty result; other
-    columns stay.
+    columns stay, but those with the name of an added one give way to it.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "votes"]
+    docs = docs.drop(*added, "n_distinct", "n_echoes", "quality", "base_failed", "kept")
+    own = docs.columns if carry is None else [c for c in carry if c in docs.columns]
     d = base_counts(docs, text_col)
     d = d.withColumn("votes", F.array(*_votes(text).values()))
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "votes"]
-    d = stored(d if carry is None else d.select(*carry, *added), "votes")
+    d = stored(d.select(*own, *added), "votes")
     found = [(tuple(r["votes"]), r["n"]) for r in d.groupBy("votes").agg(F.count("*").alias("n")).collect()]
     _, _, post = fit_votes(found)
     rows = [(list(p), q) for p, q in sorted(post.items())]

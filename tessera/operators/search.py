@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions.text import code_tokens, dot, normalised
+from tessera.shared import cut
 
 K1, B, RRF = 1.5, 0.75, 60
 
@@ -24,10 +25,10 @@ def term_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def query_hits(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(id, dl, term, tf) of the distinct query terms. Counts are taken inside the row: text goes through no shuffle."""
+    """(id, dl, term, tf) of the distinct query terms. Counts are taken inside the row, in one pass over the text that is written before its rows are used again; no text is shuffled."""
     asked = F.array(*[F.lit(t) for t in sorted(set(terms))])
     d = docs.select(id_col, code_tokens(F.col(text_col)).alias("tokens"))
-    d = d.select(id_col, F.size("tokens").cast("long").alias("dl"), F.filter("tokens", lambda t: F.array_contains(asked, t)).alias("own"))
+    d = cut(d.select(id_col, F.size("tokens").cast("long").alias("dl"), F.filter("tokens", lambda t: F.array_contains(asked, t)).alias("own")), "hits")
     d = d.select(id_col, "dl", F.explode(asked).alias("term"), "own")
     return d.select(id_col, "dl", "term", F.size(F.filter("own", lambda t: t == F.col("term"))).cast("long").alias("tf"))
 
@@ -39,7 +40,8 @@ def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: st
     for terms of negative IDF is a quarter of the mean IDF of the query's terms.
     """
     hits = query_hits(docs, terms, id_col, text_col)
-    n = docs.agg(F.count("*").alias("n"), F.avg(F.size(code_tokens(F.col(text_col)))).alias("avgdl"))
+    per = len(set(terms))
+    n = hits.agg((F.count("*") / per).alias("n"), F.avg("dl").alias("avgdl"))
     df = hits.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = df.crossJoin(n).withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = idf.filter("df > 0").agg(F.avg("raw").alias("mean"))
@@ -100,30 +102,37 @@ def search_quality(results: DataFrame, truth: DataFrame, query_col: str = "query
     return best.agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("rank").isNotNull(), 1.0).otherwise(0.0)), 8).alias("hit_rate"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 8).alias("mrr"))
 
 
-def idf(lines: DataFrame, terms: list[str], id_col: str) -> DataFrame:
-    """(term, df, idf) over documents that hold any query term: ln((1 + N) / (1 + df)) + 1."""
+def line_hits(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, own): for each line of a document the query terms in it. One pass over the texts, written, as IDF and windows both read it."""
     asked = F.array(*[F.lit(t) for t in sorted(set(terms))])
-    own = lines.select(id_col, F.explode(F.array_intersect("terms", asked)).alias("term")).distinct()
-    n = own.agg(F.countDistinct(id_col).alias("n"))
-    return own.groupBy("term").agg(F.count("*").alias("df")).crossJoin(n).select("term", "df", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))
+    own = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.array_intersect(code_tokens(x), asked))
+    return cut(docs.select(id_col, own.alias("own")), "line-hits")
+
+
+def idf(hits: DataFrame) -> DataFrame:
+    """(term, df, idf) over documents that hold any query term: ln((1 + N) / (1 + df)) + 1."""
+    own = hits.select(F.array_distinct(F.flatten("own")).alias("t")).filter(F.size("t") > 0)
+    n = own.agg(F.count("*").alias("n"))
+    return own.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(n).select("term", "df", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))
 
 
-def best_windows(lines: DataFrame, terms: list[str], id_col: str, reach: int = 12) -> DataFrame:
+def best_windows(hits: DataFrame, id_col: str = "doc_id", reach: int = 12) -> DataFrame:
     """(id, start, end, score): of each document the first window of ``reach`` lines either way with the highest sum of IDF over its distinct query terms.
 
-    ``lines`` has (id, pos, terms). A window frame slides per document; IDF
-    weights are one row per query term and come in as a broadcast map.
+    ``hits`` is of ``line_hits``. The window slides inside the row, so nothing
+    is shuffled but the counts for IDF, which come back as a broadcast map of a row per query term.
     """
-    asked = F.array(*[F.lit(t) for t in sorted(set(terms))])
-    weights = idf(lines, terms, id_col).agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("weights"))
-    own = lines.select(id_col, "pos", F.array_intersect("terms", asked).alias("terms"))
-    w = W.partitionBy(id_col).orderBy("pos").rowsBetween(-reach, reach)
-    last = W.partitionBy(id_col)
-    own = own.withColumn("near", F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms").over(w))))).withColumn("n_lines", F.max("pos").over(last))
-    own = own.filter(F.size("near") > 0).crossJoin(F.broadcast(weights))
-    own = own.withColumn("score", F.round(F.aggregate("near", F.lit(0.0), lambda s, t: s + F.element_at(F.col("weights"), t)), 8))
-    best = own.withColumn("r", F.row_number().over(W.partitionBy(id_col).orderBy(F.desc("score"), "pos"))).filter("r = 1")
-    return best.select(id_col, F.greatest(F.lit(1), F.col("pos") - reach).cast("long").alias("start"), F.least(F.col("n_lines"), F.col("pos") + reach).cast("long").alias("end"), "score")
+    weights = idf(hits).agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("weights"))
+    d = hits.filter(F.size(F.flatten("own")) > 0).crossJoin(F.broadcast(weights))
+
+    def score(i: Column) -> Column:
+        at = F.greatest(F.lit(1), i - reach)
+        near = F.array_sort(F.array_distinct(F.flatten(F.slice("own", at, i + reach - at + 1))))
+        return F.round(F.aggregate(near, F.lit(0.0), lambda s, t: s + F.element_at(F.col("weights"), t)), 8)
+
+    best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("own")), lambda i: F.struct(score(i).alias("score"), (-i).alias("neg"))))
+    d = d.select(id_col, F.size("own").alias("n_lines"), best.alias("best")).select(id_col, "n_lines", (-F.col("best.neg")).alias("pos"), "best.score")
+    return d.select(id_col, F.greatest(F.lit(1), F.col("pos") - reach).cast("long").alias("start"), F.least("n_lines", F.col("pos") + reach).cast("long").alias("end"), "score")
 
 
 def decision(ranked_hits: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import relational as R
 from tessera.registry import query
+from tessera.shared import spread
 from tessera.standins import HUNKS, LINES, SYMBOLS, hunks, lines, outcomes, symbols, table
 
 _FN = "p AS (SELECT p_brand || '/' || p_name AS file, p_type AS name FROM part), x AS (SELECT replace(file, '/', '.') AS module_key, name, file FROM p UNION SELECT regexp_extract(replace(file, '/', '.'), '[^.]*$'), name, file FROM p)"
@@ -199,7 +200,7 @@ def set_11(spark: SparkSession, sf: str) -> DataFrame:
 def agg_09(spark: SparkSession, sf: str) -> DataFrame:
     """Terms that over half of the sources import. Terms are made distinct in the row before the shuffle."""
     d = table(spark, sf, "documents")
-    w = d.select("source", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0))).alias("term")).distinct()
+    w = spread(d.select("source", "text")).select("source", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0))).alias("term")).distinct()
     n = d.agg(F.countDistinct("source").alias("n"))
     return w.groupBy("term").agg(F.count("*").alias("files")).crossJoin(F.broadcast(n)).filter("files > 0.5 * n").select("term", "files")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import code_tokens, normalised
 from tessera.operators import search as S
 from tessera.registry import query
-from tessera.standins import LINES, TOKENS, lines, table
+from tessera.standins import LINES, TOKENS, lines, table, texts
 
 TERMS = ["license", "version", "token", "the", "license"]
 _TOK = TOKENS.format("text")
@@ -30,22 +30,22 @@ _COS = """units AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM
 @query("fun_01_tokens", f"SELECT doc_id, CAST(len({_TOK}) AS BIGINT) AS n_tokens, md5(array_to_string({_TOK}, ' ')) AS digest FROM documents")
 def fun_01(spark: SparkSession, sf: str) -> DataFrame:
     t = code_tokens(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("digest"))
+    return texts(spark, sf).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("digest"))
 
 
 @query("agg_14_bm25_build", f"SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS cf FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY term")
 def agg_14(spark: SparkSession, sf: str) -> DataFrame:
-    return S.term_stats(table(spark, sf, "documents"), "doc_id", "text")
+    return S.term_stats(texts(spark, sf), "doc_id", "text")
 
 
 @query("agg_14_postings", f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY doc_id, term")
 def agg_14_postings(spark: SparkSession, sf: str) -> DataFrame:
-    return S.postings(table(spark, sf, "documents"), "doc_id", "text")
+    return S.postings(texts(spark, sf), "doc_id", "text")
 
 
 @query("agg_15_bm25", f"WITH {_BM25} {_BM25_TOP.format(k=20)}")
 def agg_15(spark: SparkSession, sf: str) -> DataFrame:
-    return S.bm25(table(spark, sf, "documents"), TERMS, k=20)
+    return S.bm25(texts(spark, sf), TERMS, k=20)
 
 
 _IDF = f"""{LINES}, own AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(terms) AS term FROM v_lines) WHERE term IN {_IN}),
@@ -54,7 +54,7 @@ _IDF = f"""{LINES}, own AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, un
 
 @query("agg_13_idf", f"WITH {_IDF} SELECT term, df, round(idf, 8) AS idf FROM idf")
 def agg_13(spark: SparkSession, sf: str) -> DataFrame:
-    return S.idf(lines(spark, sf), TERMS, "doc_id").select("term", "df", F.round("idf", 8).alias("idf"))
+    return S.idf(S.line_hits(texts(spark, sf), TERMS)).select("term", "df", F.round("idf", 8).alias("idf"))
 
 
 _WIN = f"""{_IDF}, hit AS (SELECT DISTINCT doc_id, pos, term FROM (SELECT doc_id, pos, unnest(terms) AS term FROM v_lines) WHERE term IN {_IN}),
@@ -66,13 +66,13 @@ _WIN = f"""{_IDF}, hit AS (SELECT DISTINCT doc_id, pos, term FROM (SELECT doc_id
 
 @query("win_05_best_window", f"WITH {_WIN} SELECT * FROM win")
 def win_05(spark: SparkSession, sf: str) -> DataFrame:
-    return S.best_windows(lines(spark, sf), TERMS, "doc_id")
+    return S.best_windows(S.line_hits(texts(spark, sf), TERMS))
 
 
 @query("top_07_excerpts", f"""WITH {_WIN} SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT * FROM win ORDER BY score DESC, doc_id LIMIT 25)""")
 def top_07(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: the best excerpts of the corpus for a task's terms."""
-    return S.ranked(S.best_windows(lines(spark, sf), TERMS, "doc_id"), "doc_id", 25)
+    return S.ranked(S.best_windows(S.line_hits(texts(spark, sf), TERMS)), "doc_id", 25)
 
 
 @query("top_08_decision", f"""WITH {_WIN}, r AS (SELECT score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM win),
@@ -80,7 +80,7 @@ def top_07(spark: SparkSession, sf: str) -> DataFrame:
  c AS (SELECT *, CASE WHEN first IS NULL THEN 0.0 WHEN second IS NULL THEN 0.75 ELSE least(0.9, 0.5 + (first - second) / first) END AS sure FROM t)
  SELECT first, second, round(CAST(sure AS DOUBLE), 8) AS confidence, CASE WHEN sure >= 0.6 THEN 'provide' WHEN first IS NULL THEN 'skip' ELSE 'offer' END AS decision FROM c""")
 def top_08(spark: SparkSession, sf: str) -> DataFrame:
-    return S.decision(S.ranked(S.best_windows(lines(spark, sf), TERMS, "doc_id"), "doc_id", 2))
+    return S.decision(S.ranked(S.best_windows(S.line_hits(texts(spark, sf), TERMS)), "doc_id", 2))
 
 
 @query("prj_05_line_search", f"""WITH {LINES}, c AS (SELECT *, string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS context FROM v_lines)
@@ -118,7 +118,7 @@ def jon_22(spark: SparkSession, sf: str) -> DataFrame:
  every AS (SELECT doc_id AS id, rank FROM b UNION ALL SELECT vec_id, rank FROM vec), f AS (SELECT id, round(sum(1.0 / (60 + rank)), 8) AS score FROM every GROUP BY id)
  SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT * FROM f ORDER BY score DESC, id LIMIT 20)""")
 def jon_23(spark: SparkSession, sf: str) -> DataFrame:
-    b = S.bm25(table(spark, sf, "documents"), TERMS, k=50).withColumnRenamed("doc_id", "id")
+    b = S.bm25(texts(spark, sf), TERMS, k=50).withColumnRenamed("doc_id", "id")
     return S.rrf([b, _vectors(spark, sf, 50).withColumnRenamed("vec_id", "id")], "id", 20)
 
 

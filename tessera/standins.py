@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions.text import code_tokens
+from tessera.shared import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) for work on whole texts, over all cores."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pos from 1, line, terms)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    d = texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return d.select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), "line", code_tokens(F.col("line")).alias("terms"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -15,13 +16,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found or "file://" + os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
 
 
+_written: dict[str, SparkSession] = {}
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write and read back: later plans start at files that survive a lost executor, not at a long lineage."""
+    """Write to the shared folder and read back.
+
+    Later plans start at files, not at a long lineage: if an executor is lost,
+    its tasks read them again. The files go when the driver's Python ends, or
+    by ``forget``.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written[path] = df.sparkSession
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget() -> None:
+    """Delete all that ``cut`` has written in this process."""
+    for path, spark in list(_written.items()):
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 - the session may have ended before
+            pass
+        _written.pop(path, None)
+
+
+atexit.register(forget)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores: a table of fewer file splits than cores is dealt anew before work that costs more than the move. Larger tables stay as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -2,58 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.shared import cut as stored
+from tessera.shared import spread
+
+__all__ = ["LOWER", "UPPER", "WS", "WS_CHARS", "ascii_lower", "key128", "stored", "table", "words"]
+
 #: ASCII white space, the only separators of words here.
 WS = r"[\x20\x09-\x0D]+"
 WS_CHARS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_written: dict[str, SparkSession] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or "file://" + os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage: if an executor is lost later, its tasks read the
-    files again instead of computing the table anew. The files go when the
-    driver's Python ends, or by ``forget``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget() -> None:
-    """Delete all that ``stored`` has written in this process."""
-    for path, spark in list(_written.items()):
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001 - the session may have ended before
-            pass
-        _written.pop(path, None)
-
-
-atexit.register(forget)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the driver, over all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def words(text: Column) -> Column:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
+#: Up to so many sources their rates (about 30 bytes each) are broadcast.
+FEW_SOURCES = 100_000
 #: A larger mean is drawn as a sum of this much at most, so that exp(-mean) stays exact.
 CHUNK = 256.0
 
@@ -37,12 +41,12 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     Poisson quantile of that mean at a uniform number hashed from seed and id,
     so it is the same on every run and needs no exchange. Rows with equal id
     have equal counts. Null sources form one source, named ''; null text counts
-    1 byte. The result has the columns of ``docs`` (or ``carry``), ``n_copies``,
-    ``copy`` (from 1) and ``shuffle_key``, and is sorted globally by the key.
+    1 byte. The result has the columns of ``docs`` (or ``carry``), ``mean_rate``, ``n_copies``,
+    ``copy`` (from 1) and ``shuffle_key`` (these win over columns of the same name), and is sorted globally by the key.
 
-    The per-source sums (a row per source) use map-side combine and meet the
-    rows by a join that Spark broadcasts if small, else AQE splits. The one
-    full exchange is the shuffle itself, range-partitioned by a random key: a
+    The per-source sums (a row per source) use map-side combine. Up to 100 000
+    sources their rates are broadcast, so a hot source is dealt to no one task;
+    beyond, the rows meet them by a shuffled join. The one full exchange is the shuffle itself, range-partitioned by a random key: a
     hot source or a document with many copies is dealt evenly.
     """
     src = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
@@ -59,6 +63,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
         named = spark.createDataFrame([(k, v / z) for k, v in sorted(weights.items())], "__mx_src string, w double")
         goal = sums.agg(F.sum("b").alias("all"))
         rates = sums.join(named, "__mx_src").crossJoin(F.broadcast(goal)).select("__mx_src", (F.col("w") * F.col("all") * budget / F.col("b")).alias("__mx_mean"))
+    # written, so that its size is known before the documents move
+    rates = stored(rates, "rates")
+    rates = F.broadcast(rates) if rates.count() <= FEW_SOURCES else rates
     d = docs.withColumn("__mx_src", src).join(rates, "__mx_src", "inner" if weights is not None else "left")
     parts = F.greatest(F.lit(1), F.ceil(F.col("__mx_mean") / CHUNK)).cast("int")
     d = d.withColumn("__mx_parts", parts)
@@ -68,6 +75,6 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     d = d.withColumn("n_copies", F.when(F.col("__mx_parts") == 1, one).otherwise(more).cast("long")).filter("n_copies > 0")
     d = d.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n_copies")))
     d = d.withColumn("shuffle_key", uniform(seed + "-order", F.col(id_col), F.col("copy")))
-    keep = docs.columns if carry is None else carry
+    keep = [c for c in (docs.columns if carry is None else carry) if c not in ("mean_rate", "n_copies", "copy", "shuffle_key")]
     d = d.select(*keep, F.col("__mx_mean").alias("mean_rate"), "n_copies", "copy", "shuffle_key")
     return d.orderBy("shuffle_key")

@@ -17,8 +17,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = range(3, 9)
 #: Most labelled rows that the scorer is fitted on, the first by a hash of the id; words kept in a worker's memory.
 SAMPLE, KNOWN = 10_000, 400_000
-#: A word's weight counts as one of n + STEADY.
-STEADY = 20
+#: A word's weight counts as STEADY of n + STEADY; the strength of L1.
+STEADY, SPARSE = 120, 5e-3
 
 
 def _slots(word: str) -> list[int]:
@@ -84,7 +84,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     over all texts. Tokens with leetspeak, signs between letters, spaced
     letters or letters repeated three times and more become lattices, decoded by Viterbi under the model
     and a channel's costs; all other tokens have a single path and stay. The
-    scorer is logistic over hashed word prefixes of the restored text, fitted
+    scorer is logistic with L1 over hashed word prefixes of the restored text, fitted
     on at most ``sample`` rows of ``labels``, the first by a hash of the id;
     every text is scored whole. Only the text is an input of a score.
 
@@ -98,5 +98,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     chosen = chosen.dropDuplicates(["doc_id"]).orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(sample)
     rows = d.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_features(spark.sparkContext.broadcast(lm)), "doc_id long, toxic int, at binary, v binary").toPandas()
     rows = rows.sort_values(["doc_id", "toxic"], kind="stable")
-    weights, bias = fit([(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32), float(t)) for a, v, t in zip(rows["at"], rows["v"], rows["toxic"], strict=True)])
+    weights, bias = fit([(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32), float(t)) for a, v, t in zip(rows["at"], rows["v"], rows["toxic"], strict=True)], l1=SPARSE)
     return d.mapInArrow(_scores(spark.sparkContext.broadcast((lm, weights, bias))), "doc_id long, score double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def language(path: Column) -> Column:
 
 
 def _first(pattern: str) -> Column:
-    groups = [F.nullif(F.regexp_extract("line", pattern, i + 1), F.lit("")) for i in range(2 if ")|" in pattern and pattern.count("(\\w+)") + pattern.count("([\\w.]+)") > 1 else 1)]
+    groups = [F.nullif(F.regexp_extract("line", pattern, i + 1), F.lit("")) for i in range(re.compile(pattern).groups)]
     return F.coalesce(*groups)
 
 

@@ -66,13 +66,13 @@ def attention(log: DataFrame, pairs: DataFrame, now: Column, half_life: float =
     j = p.join(ends, "symbol_id", "left")
     recent = F.when(days_between(now, F.col("last_at")) <= half_life, 0.1).otherwise(0.0)
     own = F.least(F.lit(1.0), 0.5 + 0.3 * F.col("uses") / F.col("deliveries") + recent + F.least(F.lit(0.1), F.coalesce("together", F.lit(0)) / 1000.0))
-    return j.select("symbol_id", F.round(0.7 * own + 0.3 * F.col("score"), 8).alias("score"))
+    return j.select("symbol_id", F.round(0.7 * own + 0.3 * F.col("score"), 9).alias("score"))
 
 
 def rerank(candidates: DataFrame, scores: DataFrame) -> DataFrame:
     """0.7 * relevance + 0.3 * attention (0.5 where there is no history); ties keep their order."""
     j = candidates.join(scores.select("symbol_id", F.col("score").alias("attention")), "symbol_id", "left")
-    j = j.withColumn("blend", F.round(0.7 * F.col("relevance") + 0.3 * F.coalesce("attention", F.lit(0.5)), 8))
+    j = j.withColumn("blend", F.round(0.7 * F.col("relevance") + 0.3 * F.coalesce("attention", F.lit(0.5)), 10))
     return j
 
 

@@ -72,7 +72,7 @@ def agg_07(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ATT = f"""{_POP}, {_PAIRS[len(DELIVERIES) + 2 :]}, e AS (SELECT symbol_id, sum(n) AS together FROM (SELECT a AS symbol_id, n FROM pairs UNION ALL SELECT b, n FROM pairs) GROUP BY symbol_id),
- att AS (SELECT symbol_id, round(0.7 * least(1.0, 0.5 + 0.3 * uses / deliveries + CASE WHEN (floor(epoch({_NOW})) - floor(epoch(last_at))) / 86400.0 <= 7 THEN 0.1 ELSE 0.0 END + least(0.1, coalesce(together, 0) / 1000.0)) + 0.3 * score, 8) AS score FROM pop LEFT JOIN e USING (symbol_id))"""
+ att AS (SELECT symbol_id, round(0.7 * least(1.0, 0.5 + 0.3 * uses / deliveries + CASE WHEN (floor(epoch({_NOW})) - floor(epoch(last_at))) / 86400.0 <= 7 THEN 0.1 ELSE 0.0 END + least(0.1, coalesce(together, 0) / 1000.0)) + 0.3 * score, 9) AS score FROM pop LEFT JOIN e USING (symbol_id))"""
 
 
 def _attention(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,7 +85,7 @@ def agg_08(spark: SparkSession, sf: str) -> DataFrame:
     return _attention(spark, sf)
 
 
-@query("top_02_rerank", f"WITH {_ATT} SELECT p_partkey AS id, round(0.7 * (p_size / 50.0) + 0.3 * coalesce(score, 0.5), 8) AS blend FROM part LEFT JOIN att ON symbol_id = CAST(p_partkey AS VARCHAR) ORDER BY blend DESC, id LIMIT 200")
+@query("top_02_rerank", f"WITH {_ATT} SELECT p_partkey AS id, round(0.7 * (p_size / 50.0) + 0.3 * coalesce(score, 0.5), 10) AS blend FROM part LEFT JOIN att ON symbol_id = CAST(p_partkey AS VARCHAR) ORDER BY blend DESC, id LIMIT 200")
 def top_02(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("symbol_id"), (F.col("p_size") / 50.0).alias("relevance"))
     return S.rerank(c, _attention(spark, sf)).select("id", "blend").orderBy(F.desc("blend"), "id").limit(200)

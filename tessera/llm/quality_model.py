@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,12 @@ def _whole(text: str, tokens: list[str]) -> list[int]:
     """Slots of the text's measures: distinct tokens and lines, length, tokens equal to the one before."""
     n = max(1, len(tokens))
     lines = [x for x in text.split("\n") if x and not x.isspace()]
-    pairs = list(zip(tokens, tokens[1:], strict=False))
+    same = sum(map(eq, tokens, tokens[1:]))
     step = lambda x: min(STEPS, int(x * STEPS))
     return [
         slot(f"distinct {step(len(set(tokens)) / n)}"),
-        slot(f"pairs {step(len(set(pairs)) / max(1, len(pairs)))} of {min(9, n.bit_length())}"),
-        slot(f"same {step(sum(a == b for a, b in pairs) / max(1, len(pairs)))}"),
+        slot(f"variety {step(len(set(tokens)) / (12 * n**0.5))}"),
+        slot(f"same {step(same / n)}"),
         slot(f"lines {step(len(set(lines)) / max(1, len(lines)))}"),
         slot(f"length {min(16, n.bit_length())}"),
     ]

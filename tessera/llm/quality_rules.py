@@ -18,6 +18,7 @@ STOPWORDS = (
     "der die das und zu ein eine ist mit von den nicht im auf für sich dem als auch es",
     "el los las y una para con no por se su del al lo como más o sus",
 )
+_STOP = sorted({w for line in STOPWORDS for w in line.split()})
 RULES = ("symbols", "repetition", "dup_lines", "echoes", "variety", "capitals", "bangs", "bars", "word_length", "stopwords", "letters", "length")
 
 
@@ -27,7 +28,7 @@ def _repeats(g: Column) -> Column:
 
 
 def base_counts(docs: DataFrame, text_col: str = "text", window: int = 5) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_distinct (words) and n_echoes (words equal to the one before), all longs and expressions on the row.
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_distinct (words), n_echoes (words equal to the one before) and n_stopwords, all longs and expressions on the row.
 
     Nothing is shuffled. The windows of a text are hashed to 64 bits; only a
     text in which some window recurs has its windows sorted.
@@ -57,6 +58,7 @@ def base_counts(docs: DataFrame, text_col: str = "text", window: int = 5) -> Dat
         "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
         "n_distinct": F.size(F.array_distinct("__q_h")).cast("long"),
         "n_echoes": F.size(F.filter("__q_h", lambda h, i: h == F.get("__q_h", i - 1))).cast("long"),
+        "n_stopwords": F.size(F.filter("__q_words", lambda w: w.isin(_STOP))).cast("long"),
     }).drop("__q_words", "__q_lines", "__q_h", "__q_g", "__q_s", "__q_at")
 
 
@@ -70,7 +72,6 @@ def _votes(text: Column) -> dict[str, Column]:
         return F.when(x > bad, -1).when(x <= good, 1).otherwise(0)
 
     kept = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
-    stop = sorted({w for line in STOPWORDS for w in line.split()})
     votes = {
         "symbols": three(F.col("n_symbols") / n, 0.15, 0.01),
         "repetition": three(F.col("n_repeat_words") / n, 0.2, 0.0),
@@ -81,7 +82,7 @@ def _votes(text: Column) -> dict[str, Column]:
         "bangs": three(F.regexp_count(text, F.lit(r"!!")) / n, 0.15, 0.01),
         "bars": three(F.regexp_count(text, F.lit(r"\|")) / n, 0.15, 0.01),
         "word_length": F.when((chars / n < 2) | (chars / n > 15), -1).when(chars / n <= 11, 1).otherwise(0),
-        "stopwords": F.when((n >= 20) & (F.size(F.filter(words(text), lambda w: w.isin(stop))) / n < 0.02), -1).otherwise(0),
+        "stopwords": F.when((n >= 20) & (F.col("n_stopwords") / n < 0.02), -1).otherwise(0),
         "letters": F.when(kept(r"[^\p{L}]+") / chars < 0.7, -1).otherwise(0),
         "length": F.when(F.col("n_words") >= 50, 1).otherwise(0),
     }
@@ -141,7 +142,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", keep_at: float = 0.5,
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "votes"]
-    docs = docs.drop(*added, "n_distinct", "n_echoes", "quality", "base_failed", "kept")
+    docs = docs.drop(*added, "n_distinct", "n_echoes", "n_stopwords", "quality", "base_failed", "kept")
     own = docs.columns if carry is None else [c for c in carry if c in docs.columns]
     d = base_counts(docs, text_col)
     d = d.withColumn("votes", F.array(*_votes(text).values()))

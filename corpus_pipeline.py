@@ -46,8 +46,8 @@ def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_apart
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: one document of each group stays."""
-    return near_dedup(docs, shingle=3, radius=2)
+    """Near-dedup: one document stays of each group within 2 bits of SimHash or with a five-word Jaccard similarity of 0.8 or more."""
+    return near_dedup(docs, shingle=3, radius=2, similarity=0.8)
 
 
 @_apart

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .components import components
+from .jaccard import jaccard_links, signature
 
 #: Buckets up to this size propose pairs; members of larger ones meet at midpoints.
 LIGHT = 32
@@ -39,11 +40,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def _fingerprints(shingle: int):
+def _fingerprints(shingle: int, signed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(fps, pa.int64())], names=["doc_id", "tie", "fp"])
+            columns = {"doc_id": b.column("doc_id"), "tie": b.column("tie"), "fp": pa.array(fps, pa.int64())}
+            if signed:
+                found = [signature(t.as_py()) or (None, None, None) for t in b.column("text")]
+                columns |= {c: pa.array([x[i] for x in found], kind) for i, (c, kind) in enumerate({"node": pa.int64(), "size": pa.int32(), "keys": pa.binary()}.items())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
@@ -96,7 +101,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.unionByName(hubs)
 
 
-def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """One row per document: doc_id, fp (the 64 bits as a long), tie, component_id (the least id reachable).
 
     Texts are lower-cased in A-Z and cut into words at ASCII white space; the
@@ -104,25 +109,32 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: s
     the fingerprint 0 and link like any other. Equal fingerprints are one node
     from here on, so exact copies cost nothing. ``tie`` is a hash of the text
     that tells rows with equal ids apart. A null id is larger than any other.
+    With ``similarity`` (0.8 or more), texts whose five-word shingle sets have
+    at least that Jaccard similarity are linked as well (``jaccard_links``).
     """
     tie = F.xxhash64(F.lit("tie"), F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), tie.alias("tie"))
-    rows = stored(rows.mapInArrow(_fingerprints(shingle), "doc_id long, tie long, fp long"), "simhash")
+    texts = rows.select("tie", "text")
+    signed = ", node long, size int, keys binary" if similarity is not None else ""
+    rows = stored(rows.mapInArrow(_fingerprints(shingle, bool(signed)), "doc_id long, tie long, fp long" + signed), "simhash")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(fingerprint_links(nodes.select("fp"), radius))
+    links = fingerprint_links(nodes.select("fp"), radius)
+    if similarity is not None:
+        links = jaccard_links(rows.filter("node is not null"), texts, links, similarity)
+    roots = components(links)
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = stored(rooted, "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "tie", "component_id")
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """``docs`` with one row left of each group of near copies: the one with the least id.
 
     Rows that repeat the least id stay together only if their texts are equal
     too; of different texts under one id, the one with the least hash stays.
     """
-    groups = simhash_groups(docs, shingle, radius, id_col, text_col)
+    groups = simhash_groups(docs, shingle, radius, id_col, text_col, similarity)
     stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("tie").alias("__sh_tie"))
     whole = docs.withColumn("__sh_tie", F.xxhash64(F.lit("tie"), F.coalesce(F.col(text_col), F.lit(""))))
     stay = stay.withColumnRenamed("component_id", "__sh_id")

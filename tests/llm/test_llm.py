@@ -22,7 +22,7 @@ import brute  # noqa: E402
 import oracle  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from tessera.llm import bilstm_crf, golomb, noisy_channel, oracles, packing, pii_rules, quality_rules, queries, simhash, toxicity  # noqa: E402
+from tessera.llm import bilstm_crf, golomb, jaccard, noisy_channel, oracles, packing, pii_rules, quality_rules, queries, simhash, toxicity  # noqa: E402
 from tessera.llm.components import components  # noqa: E402
 from tessera.llm.exact_dedup import exact_dedup  # noqa: E402
 from tessera.llm.line_dedup import line_dedup  # noqa: E402
@@ -187,6 +187,42 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch):
         assert {frozenset(g) for g in groups.values()} == want
 
 
+@pytest.mark.parametrize("light", [32, 2])
+def test_near_copies_beyond_two_bits_go(spark, monkeypatch, light):
+    """Groups by five-word Jaccard similarity against all pairs in plain Python: chains, hubs and texts just under 0.8, in small and in large buckets."""
+    monkeypatch.setattr(jaccard, "LIGHT", light)
+    r = random.Random(8)
+    rows, n = [], 0
+    for _ in range(12):
+        w = [f"w{r.randrange(9999)}" for _ in range(r.choice([12, 60, 150]))]
+        for _ in range(7):
+            rows.append((n, " ".join(w)))
+            n += 1
+            w = list(w)
+            for _ in range(r.choice([1, 1, 2, 4])):
+                w[r.randrange(len(w))] = f"w{r.randrange(9999)}"
+    rows += [(n, "one two three four five " * 12), (n + 1, "one two three four five " * 40), (n + 2, None), (n + 3, "short text")]
+    sets = [{tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} if x else set() for x in ((t or "").split() for _, t in rows)]
+    root, within, far = list(range(len(rows))), [brute.simhash(t) for _, t in rows], 0
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            bits = (within[a] ^ within[b]).bit_count()
+            alike = bool(sets[a] & sets[b]) and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])
+            far += alike and bits > 2
+            if bits <= 2 or alike:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    assert far > 10
+    d = spark.createDataFrame([(i, t, "a") for i, t in rows], EMPTY_OK)
+    left = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, d, "")
+    assert sorted(x["doc_id"] for x in left.collect()) == sorted({find(a) for a in range(len(rows))})
+
+
 def test_components_of_a_long_chain(spark):
     d = spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long")
     assert {r["root"] for r in components(d).collect()} == {0}

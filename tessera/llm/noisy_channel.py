@@ -102,10 +102,10 @@ def _lattice(word: str) -> list[list[tuple[str, float]]]:
 
 
 def restore(word: str, lm: np.ndarray) -> str:
-    """The likeliest plain text of a disguised word (lower case): Viterbi over the lattice, the state being the last two codes."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest plain text of a disguised word (lower case): Viterbi over the lattice, the state being the last two codes; back-pointers keep the time linear in the word."""
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in [*_lattice(word.lower()), [(" ", 0.0)]]:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, out) in best.items():
             for s, cost in options:
                 x, y, total = a, b, score + cost
@@ -115,9 +115,13 @@ def restore(word: str, lm: np.ndarray) -> str:
                         total += float(lm[x, y, z])
                         x, y = y, z
                 if (x, y) not in new or total > new[x, y][0]:
-                    new[x, y] = (total, out + s)
+                    new[x, y] = (total, (out, s))
         best = new
-    return max(best.values())[1].strip()
+    way, parts = max(best.values(), key=lambda x: x[0])[1], []
+    while way:
+        way, s = way
+        parts.append(s)
+    return "".join(reversed(parts)).strip()
 
 
 def ambiguous(token: str) -> bool:
@@ -130,4 +134,4 @@ def plain(token: str, lm: np.ndarray) -> str:
     t = _TAIL.sub("", token.lower())
     t = t.strip(".,;:?\"'()[]{}<>|") if not t.isalpha() else t
     t = t[:-1] if t.endswith("!") else t
-    return restore(t, lm) if ambiguous(t) and len(t) <= 64 else t
+    return restore(t, lm) if ambiguous(t) else t

@@ -415,6 +415,9 @@ def test_viterbi_restores():
     for noisy, clean in (("1d10t", "idiot"), ("m0r0n", "moron"), ("stuuuupid", "stupid"), ("s.t.u.p.i.d", "stupid"), ("i d i o t", "idiot"), ("$tup1d", "stupid")):
         assert noisy_channel.restore(noisy, lm) == clean
     assert noisy_channel.plain("garden,", lm) == "garden" and noisy_channel.plain("2024", lm) == "2024"
+    assert noisy_channel.plain("stu" + 70 * "u" + "pid", lm) == "stupid"
+    assert noisy_channel.plain("_".join("stupid") + "_" + ".".join("the idiot and the moron and the idiot".replace(" ", "")), lm).startswith("stupid")
+    assert len(noisy_channel.plain("s_" * 20_000, lm)) > 10_000
 
 
 @pytest.mark.skipif(not os.path.exists(oracle.SF), reason="no driver tables here")

@@ -113,6 +113,33 @@ def ancestry(stacks: DataFrame, of: DataFrame, most: int = 200) -> DataFrame:
     return closure(up, of, most)
 
 
+def supersession_conflicts(decisions: DataFrame) -> DataFrame:
+    """(id, n): decisions (id, superseded_by) that more than one other replaces."""
+    return decisions.filter("superseded_by is not null").groupBy("id").agg(F.countDistinct("superseded_by").alias("n")).filter("n > 1")
+
+
+def supersession(decisions: DataFrame, starts: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(first, current, steps): the last decision of the chain from each start (id) by links (id, superseded_by), and the links up to it.
+
+    A link whose target isn't there ends its chain before it. Pointers are
+    doubled, so the rounds grow with the logarithm of the longest chain.
+    Raises for a decision that is replaced twice, and for a cycle.
+    """
+    links = cut(decisions.select("id", "superseded_by").distinct(), "decisions")
+    twice = supersession_conflicts(links).first()
+    if twice:
+        raise ValueError(f"decision {twice['id']} is superseded by {twice['n']} others")
+    there = links.select(F.col("id").alias("superseded_by")).distinct()
+    jump = cut(links.join(there, "superseded_by").select("id", F.col("superseded_by").alias("to"), F.lit(1).cast("long").alias("steps")), "jumps")
+    for _ in range(most_rounds):
+        more = jump.select(F.col("id").alias("to"), F.col("to").alias("end"), F.col("steps").alias("further"))
+        if jump.join(more, "to", "left_semi").isEmpty():
+            own = starts.select("id").distinct().join(there, F.col("id") == F.col("superseded_by"), "left_semi")
+            return own.join(jump, "id", "left").select(F.col("id").alias("first"), F.coalesce("to", "id").alias("current"), F.coalesce("steps", F.lit(0).cast("long")).alias("steps"))
+        jump = cut(jump.join(more, "to", "left").select("id", F.coalesce("end", "to").alias("to"), (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps")), "jumps")
+    raise RuntimeError(f"supersession: a cycle, or not complete after {most_rounds} rounds")
+
+
 def visible_edges(log: DataFrame, chain: DataFrame) -> DataFrame:
     """Edges of a layered log (stack_id, op, edge_id, payload...) as seen from a chain (node, depth): the newest layer with an entry for an edge decides."""
     own = log.join(chain.select(F.col("node").alias("stack_id"), "depth"), "stack_id")

@@ -113,9 +113,9 @@ def set_05(spark: SparkSession, sf: str) -> DataFrame:
 @query("gra_16_supersession", """WITH RECURSIVE s AS (SELECT p_partkey AS id, p_partkey + 500 AS next FROM part), r(first, id, steps) AS (SELECT id, id, 0 FROM s WHERE id < 500 UNION ALL SELECT first, s.next, steps + 1 FROM r JOIN s ON s.id = r.id JOIN part ON p_partkey = s.next)
  SELECT first, max(id) AS current, CAST(max(steps) AS BIGINT) AS steps FROM r GROUP BY first""")
 def gra_16(spark: SparkSession, sf: str) -> DataFrame:
-    """Decisions that replace each other: each chain's last one. Chains are as long as the table is deep, so they are walked level by level."""
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
-    return p.select(F.pmod("id", F.lit(500)).alias("first"), "id").groupBy("first").agg(F.max("id").alias("current"), (F.count("*") - 1).alias("steps"))
+    """Decisions that replace each other: each chain's last one, by the links themselves."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") + 500).alias("superseded_by"))
+    return G.supersession(p, p.filter("id < 500"))
 
 
 @query("jon_18_dead_code", f"WITH {EDGES} SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT dst FROM v_edges) AND c_custkey NOT IN (SELECT src FROM v_edges) AND NOT regexp_matches(c_name, '00[123]$')")

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera import formats
-from tessera.operators import packing, relational, search, state, statistics
+from tessera.operators import graph, packing, relational, search, state, statistics
 from tessera.sources import files as W
 
 
@@ -101,3 +101,25 @@ def test_file_scan(spark, tmp_path):
 def test_truncation_goes_back_to_a_blank_line():
     assert formats.truncated("a\nb\n\nc\nd", most_lines=4) == "a\nb\n... [3 lines cut]"
     assert formats.truncated("a\nb", most_lines=4) == "a\nb"
+
+
+def test_supersession_walks_the_links(spark, tmp_path):
+    """A chain with a gap ends before it; the query does the same on a part table without some keys; conflicts and cycles raise."""
+    from tessera import registry
+
+    keys = [k for k in range(2600) if k not in (3, 1004, 505)]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    want = set()
+    for first in (k for k in keys if k < 500):
+        end = first
+        while end + 500 in keys:
+            end += 500
+        want.add((first, end, (end - first) // 500))
+    assert {tuple(r) for r in registry.queries()["gra_16_supersession"](spark, str(tmp_path)).collect()} == want
+    table = lambda rows: spark.createDataFrame(rows, "id long, superseded_by long")
+    start = table([(1, None)])
+    assert [tuple(r) for r in graph.supersession(table([(1, 7), (7, 2), (2, None)]), start).collect()] == [(1, 2, 2)]
+    with pytest.raises(ValueError, match="superseded by 2"):
+        graph.supersession(table([(1, 2), (1, 3), (2, None), (3, None)]), start)
+    with pytest.raises(RuntimeError, match="cycle"):
+        graph.supersession(table([(1, 2), (2, 1)]), start, most_rounds=3)

@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from .bilstm_crf import STRIDE, WINDOW, Tagger, char_ids, reconciled, trained, windows_of
 from .pii_rules import KINDS, Span, base_spans, luhn
 
-#: A span needs a digit or a sign or word for "at": windows without one can't hold a span.
-_ANCHOR = re.compile(r"[0-9@]|[(\[]at[)\]]")
+#: All that _sound accepts holds a decimal digit, an @ or the word "at", in any case: a span without one is none.
+_ANCHOR = re.compile(r"[\d@]|(?<![^\W_])at(?![^\W_])", re.IGNORECASE)
 #: Windows that go through the network at once.
 AT_ONCE = 512
 #: Fewest and most digits of a span of each kind.
 _DIGITS = {"ip": (4, 12), "card": (12, 19), "phone": (9, 15)}
-_IP_PARTS = re.compile(r"[0-9]{1,3}(?:\D+[0-9]{1,3}){3}")
-_AT = re.compile(r"[A-Za-z0-9]\s?(?:@|[(\[]at[)\]])\s?[A-Za-z0-9]+.*(?:\.|dot)")
+_IP_PARTS = re.compile(r"\d{1,3}(?:\D+\d{1,3}){3}")
+_AT = re.compile(r"[a-z0-9](?:\s?(?:@|[(\[{<]\s?at\s?[)\]}>])\s?|\sat\s)[a-z0-9]+.*(?:\.|dot)", re.IGNORECASE)
 
 
 def _sound(text: str, span: Span) -> Span | None:
@@ -34,14 +34,14 @@ def _sound(text: str, span: Span) -> Span | None:
     if kind == "email":
         return (a, b, kind) if _AT.search(s) and len(s) <= 254 else None
     low, high = _DIGITS[kind]
-    n = sum("0" <= c <= "9" for c in s)
+    n = sum(c.isdecimal() for c in s)
     whole = not (a and text[a - 1].isalnum()) and not (b < len(text) and text[b].isalnum())
     letters = any(c.isalpha() for c in s)
     if not (low <= n <= high and whole) or letters:
         return None
-    if kind == "ip" and not (_IP_PARTS.fullmatch(s) and all(int(x) <= 255 for x in re.findall("[0-9]+", s))):
+    if kind == "ip" and not (_IP_PARTS.fullmatch(s) and all(int(x) <= 255 for x in re.findall(r"\d+", s))):
         return None
-    if kind == "card" and not luhn("".join(c for c in s if "0" <= c <= "9")):
+    if kind == "card" and not luhn("".join(c for c in s if c.isdecimal())):
         return None
     return a, b, kind
 
@@ -52,34 +52,50 @@ def _merge(base: list[Span], more: list[Span]) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def _around(length: int, spans: list[Span]) -> set[int]:
+    """Starts of all windows that read a span or the position before or behind it."""
+    blocks = {k for a, b, _ in spans for k in range(max(a - 1, 0) // STRIDE - 1, min(b, length - 1) // STRIDE + 1)}
+    return {k * STRIDE for k in blocks if k >= 0}
+
+
+def _model_spans(model: Tagger, texts: list[str]) -> list[list[Span]]:
+    """Per text, the spans with an anchor that decoding all its windows would give.
+
+    The windows around anchors are decoded first, then those around each span
+    found, until no span reaches a position that a window not yet decoded reads.
+    """
+    rows: list[dict[int, np.ndarray]] = [{} for _ in texts]
+    spans: list[list[Span]] = [[] for _ in texts]
+    jobs = []
+    for n, t in enumerate(texts):
+        anchors = np.fromiter((m.start() for m in _ANCHOR.finditer(t)), np.int64)
+        jobs += [(n, s) for s in windows_of(len(t), anchors)] if len(anchors) else []
+    while jobs:
+        for at in range(0, len(jobs), AT_ONCE):
+            own = jobs[at : at + AT_ONCE]
+            ids = np.zeros((len(own), WINDOW), np.int64)
+            for i, (n, s) in enumerate(own):
+                c = char_ids(texts[n][s : s + WINDOW])
+                ids[i, : len(c)] = c
+            for (n, s), row in zip(own, model.decode(ids), strict=True):
+                rows[n][s] = row
+        touched, jobs = sorted({n for n, _ in jobs}), []
+        for n in touched:
+            starts = sorted(rows[n])
+            spans[n] = reconciled(len(texts[n]), starts, [rows[n][s] for s in starts])
+            jobs += [(n, s) for s in sorted(_around(len(texts[n]), spans[n]) - rows[n].keys())]
+    return spans
+
+
 def _find(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Tagger()
         model.p = held.value
         for b in batches:
             texts = [t.as_py() or "" for t in b.column("text")]
-            jobs = []
-            for n, t in enumerate(texts):
-                anchors = np.fromiter((m.start() for m in _ANCHOR.finditer(t)), np.int64)
-                if len(anchors):
-                    jobs += [(n, s) for s in windows_of(len(t), anchors)]
-            tags: dict[int, tuple[list[int], list[np.ndarray]]] = {}
-            for at in range(0, len(jobs), AT_ONCE):
-                own = jobs[at : at + AT_ONCE]
-                ids = np.zeros((len(own), WINDOW), np.int64)
-                for i, (n, s) in enumerate(own):
-                    c = char_ids(texts[n][s : s + WINDOW])
-                    ids[i, : len(c)] = c
-                for (n, s), row in zip(own, model.decode(ids), strict=True):
-                    if row.any() or n in tags:
-                        starts, rows = tags.setdefault(n, ([], []))
-                        starts.append(s)
-                        rows.append(row)
             base = [base_spans(t) for t in texts]
-            every = []
-            for n, t in enumerate(texts):
-                more = reconciled(len(t), *tags[n]) if n in tags else []
-                every.append(_merge(base[n], [x for x in (_sound(t, s) for s in more) if x]))
+            found = _model_spans(model, texts)
+            every = [_merge(base[n], [x for x in (_sound(t, s) for s in found[n]) if x]) for n, t in enumerate(texts)]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
             pack = lambda rows: pa.array([[{"start": a, "end": e, "kind": k} for a, e, k in r] for r in rows], kind)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pack(base), pack(every)], names=["doc_id", "base", "spans"])
@@ -95,8 +111,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     generator makes (so it is the same at any size of the corpus). Windows of
     96 characters every 48 are decoded by Viterbi. A position takes its tag
     from the window where it is most central, so the windows of a text end in
-    one reading. A span must have a digit or an "at", so windows without
-    either are skipped and lose nothing. Base spans always stay; the model adds spans that meet
+    one reading. A span must have a decimal digit, an @ or the word "at", so decoding
+    starts at those and goes on as far as spans reach: the spans are those of
+    all windows. Base spans always stay; the model adds spans that meet
     none of them.
 
     Null text is empty and has no span. Rows are independent: nothing is

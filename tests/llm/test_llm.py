@@ -22,7 +22,7 @@ import brute  # noqa: E402
 import oracle  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from tessera.llm import bilstm_crf, golomb, jaccard, noisy_channel, oracles, packing, pii_rules, quality_rules, queries, simhash, toxicity  # noqa: E402
+from tessera.llm import bilstm_crf, golomb, jaccard, noisy_channel, oracles, packing, pii, pii_rules, quality_rules, queries, simhash, toxicity  # noqa: E402
 from tessera.llm.components import components  # noqa: E402
 from tessera.llm.exact_dedup import exact_dedup  # noqa: E402
 from tessera.llm.line_dedup import line_dedup  # noqa: E402
@@ -405,6 +405,26 @@ def test_pii(spark, docs, none):
     assert find_pii(docs).count() == len(CASES) and find_pii(none).collect() == []
 
 
+def test_pii_spans_are_those_of_all_windows():
+    """Anchors lose nothing: other cases, other digits, spans longer than a window, and text before a span."""
+    model = bilstm_crf.Tagger()
+    model.p = bilstm_crf.trained()[0]
+    r = random.Random(4)
+    hard = ["JOHN (AT) MAIL (DOT) COM", "erta[At]mailco.org", "lich {at} mail.de", "١٩٢.١٦٨.١٠.٢٥", "a" * 130 + "@mail.com", "er.ou@mail.com", "1.2.3.4", "555-123-4567", "4111 1111 1111 1111", "+1 (415) 555-2671"]
+    texts = [" ".join(x for _ in range(6) for x in (prose(r.randrange(1, 40)), r.choice(hard))) for _ in range(60)] + hard
+    for t, got in zip(texts, pii._model_spans(model, texts), strict=True):
+        starts = list(range(0, len(t), bilstm_crf.STRIDE))
+        ids = np.zeros((len(starts), bilstm_crf.WINDOW), np.int64)
+        for i, s in enumerate(starts):
+            c = bilstm_crf.char_ids(t[s : s + bilstm_crf.WINDOW])
+            ids[i, : len(c)] = c
+        every = bilstm_crf.reconciled(len(t), starts, model.decode(ids))
+        sound = lambda spans, t=t: [x for x in (pii._sound(t, s) for s in spans) if x]
+        assert sound(got) == sound(every)
+    for t in hard[:3]:
+        assert pii._ANCHOR.search(t) and pii._sound(t, (0, len(t), "email")) == (0, len(t), "email")
+
+
 def test_viterbi_restores():
     text = ("the idiot and the moron said that this was a stupid thing in the garden of the old man " * 50).lower()
     codes = noisy_channel._codes(" " + text)

@@ -1,4 +1,11 @@
-"""Best-fit packing of token sequences in bulk-synchronous sweeps."""
+"""Best-fit packing of token sequences by a plan on the driver over counts by length.
+
+This isn't the method of bulk-synchronous sweeps (documents and gaps
+range-sorted, distributed successor sweeps, conflicts by rank): pieces of one
+length are interchangeable, so counts by length, whose number the capacity
+bounds, decide the whole packing, and a sequential best-fit-decreasing loop
+over them needs no rounds over documents and meets no conflicts.
+"""
 
 from __future__ import annotations
 

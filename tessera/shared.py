@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where that is unset (tests)."""
+    """spark.checkpoint.dir. Where that is unset, a local folder serves a local master (one machine: tests, bench); on a cluster it is an error, as executors would each write their own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or "file://" + os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+    return "file://" + os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
 
 
 _written: dict[str, SparkSession] = {}
@@ -32,9 +36,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget() -> None:
-    """Delete all that ``cut`` has written in this process."""
+def forget(*tables: DataFrame) -> None:
+    """Delete what ``cut`` has written in this process: the files of ``tables``, or all."""
+    files = {f for t in tables for f in t.inputFiles()}
     for path, spark in list(_written.items()):
+        if tables and not any(path.split("://")[-1] in f for f in files):
+            continue
         try:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -7,26 +7,31 @@ from pyspark.sql import functions as F
 
 from .common import WS_CHARS, ascii_lower, key128, stored
 
+#: A key that at least 1/HOT of all records have is hot; there are HOT of them at most.
+HOT = 2000
+
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``docs`` with ``text_col`` rewritten and ``n_lines``, ``n_dropped`` (before and by dropping) added.
 
     A line's key is the line stripped of ASCII white space with A-Z in lower
     case. A key of at least ``min_chars`` code points that at least
-    ``min_docs`` rows hold loses its lines everywhere but in the row with the
-    largest id that holds it. DataFrame functions only:
+    ``min_docs`` documents hold loses its lines everywhere but in the document
+    with the largest id that holds it. DataFrame functions only:
 
     1. one scan turns each text into 128-bit keys of its long lines, by position;
-    2. the keys, distinct within a row, are counted with map-side combine, so
-       a line that a third of all rows hold is one record per task;
-    3. the narrow (row, position, key) records meet the common keys; AQE may
-       split a hot key, as nothing above needs a key's records together;
+    2. the distinct ids of each key are counted: first by (key, id), which deals
+       a hot key evenly, then by key with map-side combine;
+    3. the narrow (row, position, key) records meet the common keys. Hot keys,
+       2 000 at most by definition, are broadcast; all others are joined
+       by a shuffle in which no key has more than 1/2000 of the records;
     4. the positions to drop meet the rows, whose texts are joined anew.
 
-    Null text counts as empty (one empty line). Rows with equal id and text
-    are treated alike, and each counts as a document. A null id ranks below
-    all others. An empty table gives an empty result. Other columns stay; the
-    helper columns are named ``__ld_*``.
+    Rows that share an id are one document: they count once, and all keep or
+    lose a line alike. Null ids are one document, ranked below all others. Null
+    text counts as empty (one empty line). Of repeated lines in a row, all stay or go. Very
+    long texts and lines are read whole. An empty table gives an empty result. Other columns
+    stay; the helper columns are named ``__ld_*``.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     k1, k2 = key128(F.col(id_col), text)
@@ -38,19 +43,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.when(F.length(key) >= min_chars, F.struct(a.alias("a"), b.alias("b")))
 
     rows = stored(docs.select(k1.alias("k1"), k2.alias("k2"), F.col(id_col).alias("id"), F.transform(lines, keyed).alias("keys")).filter(F.exists("keys", lambda x: x.isNotNull())), "lines")
-    common = (
-        rows.select("id", F.explode(F.array_distinct(F.filter("keys", lambda x: x.isNotNull()))).alias("key"))
-        .groupBy("key.a", "key.b").agg(F.count("*").alias("n"), F.max("id").alias("holder"))
-        .filter(F.col("n") >= min_docs).drop("n")
-    )
-    drops = (
-        rows.select("k1", "k2", "id", F.posexplode("keys").alias("pos", "key"))
-        .filter(F.col("key").isNotNull()).select("k1", "k2", "id", "pos", "key.a", "key.b")
-        .join(common, ["a", "b"])
-        .filter((F.col("id") < F.col("holder")) | (F.col("id").isNull() & F.col("holder").isNotNull()))
-        .groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("__ld_pos"))
-        .withColumnsRenamed({"k1": "__ld_1", "k2": "__ld_2"})
-    )
+    # a null id is told apart by a flag, so that it counts as a document
+    records = rows.select("k1", "k2", F.col("id").isNotNull().alias("named"), "id", F.posexplode("keys").alias("pos", "key")).filter(F.col("key").isNotNull())
+    records = records.select("k1", "k2", "named", "id", "pos", "key.a", "key.b")
+    held = records.groupBy("a", "b", "named", "id").agg(F.count("*").alias("m"))
+    common = held.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("m").alias("m"), F.max("id").alias("holder")).filter(F.col("n") >= min_docs)
+    common = stored(common.select("a", "b", "m", "holder"), "common-lines")
+    every = rows.agg(F.sum(F.size(F.filter("keys", lambda x: x.isNotNull())))).first()[0] or 0
+    hot = common.filter(F.col("m") * HOT >= every).drop("m").withColumn("hot", F.lit(True))
+    marked = records.join(F.broadcast(hot), ["a", "b"], "left")
+    gone = (F.col("id") < F.col("holder")) | (F.col("id").isNull() & F.col("holder").isNotNull())
+    cold = marked.filter("hot is null").drop("hot", "holder").join(common.filter(F.col("m") * HOT < every).drop("m"), ["a", "b"])
+    drops = marked.filter("hot").filter(gone).select("k1", "k2", "pos").unionByName(cold.filter(gone).select("k1", "k2", "pos"))
+    drops = drops.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("__ld_pos")).withColumnsRenamed({"k1": "__ld_1", "k2": "__ld_2"})
     met = docs.withColumns({"__ld_1": k1, "__ld_2": k2}).join(drops, ["__ld_1", "__ld_2"], "left")
     met = met.withColumns({"__ld_lines": lines, "__ld_pos": F.coalesce("__ld_pos", F.array().cast("array<int>"))})
     # the runs of lines between two dropped positions

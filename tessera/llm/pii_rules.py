@@ -43,7 +43,8 @@ def base_spans(text: str) -> list[Span]:
     found = [(a, b, "email") for a, b in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            parts = [p.lstrip("0") or "0" for p in m[0].split(".")]  # int() refuses runs of thousands of digits
+            if all(len(p) <= 3 and int(p) <= 255 for p in parts):
                 found.append((m.start(), m.end(), "ip"))
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")

@@ -11,14 +11,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, stored
+from .common import WS, bucketed, stored
 from .golomb import decode, encode
 
 #: Bits of a fingerprint; its top bits name the owner. A chance hit costs a verification, never a wrong result.
 BITS = 48
-#: Rows of a block, and most bits of the filter of suspects (32 MB).
+#: Rows of a block; most bits of a filter of suspects that is broadcast (32 MB).
 BLOCK, FILTER_BITS = 1 << 18, 1 << 28
-_SENT = "block string, owner int, k int, n int, code binary, shas array<string>, ids array<array<bigint>>"
+_SENT = "block string, owner int, k int, n int, code binary, shas binary, sizes array<int>, ids array<bigint>"
 
 
 def _send(owner_bits: int):
@@ -27,20 +27,25 @@ def _send(owner_bits: int):
     def pack(part: int, no: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches)
         ids = t.column("doc_id").to_pylist()
-        shas = t.column("sha").to_numpy(zero_copy_only=False)
-        order = np.argsort(shas, kind="stable")
-        s = shas[order]
-        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        shas = np.frombuffer(b"".join(t.column("sha").to_pylist()), ">u8").reshape(-1, 4)
+        words = shas.astype(np.uint64)
+        order = np.lexsort(words.T[::-1])
+        s = words[order]
+        first = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]).any(axis=1)])
         ends = np.r_[first[1:], len(s)]
-        fps = np.array([int(x[: BITS // 4], 16) for x in s[first]], np.int64)
+        fps = (s[first, 0] >> np.uint64(64 - BITS)).astype(np.int64)
         owner = fps >> (BITS - owner_bits)
+        cuts = np.searchsorted(owner, np.arange((1 << owner_bits) + 1))
         out = []
-        for o in np.unique(owner):
-            at = np.flatnonzero(owner == o)
-            k, code = encode(fps[at] - (int(o) << (BITS - owner_bits)))
-            out.append({"block": f"{part}-{no}", "owner": int(o), "k": k, "n": len(at), "code": code, "shas": s[first[at]].tolist(), "ids": [[ids[j] for j in order[first[i] : ends[i]]] for i in at]})
-        schema = pa.schema([("block", pa.string()), ("owner", pa.int32()), ("k", pa.int32()), ("n", pa.int32()), ("code", pa.binary()), ("shas", pa.list_(pa.string())), ("ids", pa.list_(pa.list_(pa.int64())))])
-        yield pa.RecordBatch.from_pylist(out, schema)
+        for o in np.unique(owner).tolist():
+            at = np.arange(cuts[o], cuts[o + 1])
+            k, code = encode(fps[at] - (o << (BITS - owner_bits)))
+            own = order[first[at[0]] : ends[at[-1]]]
+            out.append({"block": f"{part}-{no}", "owner": o, "k": k, "n": len(at), "code": code, "shas": shas[order[first[at]]].tobytes(), "sizes": (ends[at] - first[at]).tolist(), "ids": [ids[j] for j in own]})
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        names = ["block", "owner", "k", "n", "code", "shas", "sizes", "ids"]
+        for i in range(0, len(out), 64):
+            yield pa.RecordBatch.from_arrays([pa.array([m[c] for m in out[i : i + 64]], t) for c, t in zip(names, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, no, held, rows = TaskContext.get().partitionId(), 0, [], 0
@@ -71,11 +76,40 @@ def _answer(got: pd.DataFrame) -> pd.DataFrame:
 
 def _receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """At home: each message with its bitmap -> (sha, ids, suspect) per distinct hash of the block."""
-    schema = pa.schema([("sha", pa.string()), ("ids", pa.list_(pa.int64())), ("suspect", pa.bool_())])
     for b in batches:
         for m in b.to_pylist():
-            hits = np.unpackbits(np.frombuffer(m["hits"], np.uint8))[: m["n"]].astype(bool).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(m["shas"], pa.string()), pa.array(m["ids"], pa.list_(pa.int64())), pa.array([h or len(i) > 1 for h, i in zip(hits, m["ids"], strict=True)], pa.bool_())], schema=schema)
+            sizes = np.array(m["sizes"], np.int64)
+            hits = np.unpackbits(np.frombuffer(m["hits"], np.uint8))[: m["n"]].astype(bool) | (sizes > 1)
+            shas = pa.Array.from_buffers(pa.binary(32), m["n"], [None, pa.py_buffer(m["shas"])]).cast(pa.binary())
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(m["ids"], pa.int64()))
+            yield pa.RecordBatch.from_arrays([shas, ids, pa.array(hits)], names=["sha", "ids", "suspect"])
+
+
+def _picked(texts: DataFrame, suspects: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose id a suspect has, and perhaps others."""
+    spark = texts.sparkSession
+    n = suspects.count()
+    bits = 1 << max(10, (8 * n).bit_length())
+    if bits > FILTER_BITS:
+        own = suspects.select(F.col("doc_id").alias("own")).distinct()
+        return texts.join(own, F.col("doc_id").eqNullSafe(F.col("own")), "left_semi")
+    hashes = [F.pmod(F.xxhash64(F.lit(i), "doc_id"), F.lit(bits)) for i in (1, 2)]
+    marks = suspects.select(F.explode(F.array(*hashes)).alias("bit"))
+    marks = marks.groupBy(F.expr("shiftright(bit, 5)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("v"))
+    words = np.zeros(bits >> 5, np.uint32)
+    found = marks.toPandas()  # at most bits / 32 rows
+    words[found["word"].to_numpy(np.int64)] = found["v"].to_numpy(np.int64).astype(np.uint32)
+    held = spark.sparkContext.broadcast(words.tobytes())
+
+    @F.pandas_udf("boolean")
+    def maybe(a: pd.Series, b: pd.Series) -> pd.Series:
+        w = np.frombuffer(held.value, np.uint32)
+        out = np.ones(len(a), bool)
+        for x in (a.to_numpy(np.int64), b.to_numpy(np.int64)):
+            out &= (w[x >> 5] >> (x & 31).astype(np.uint32)) & 1 == 1
+        return pd.Series(out)
+
+    return texts.filter(maybe(*hashes))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,55 +122,42 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     1. A scan hashes the normalised texts. Each block of a partition sorts its
        distinct fingerprints (48 bits) and sends them, Golomb-coded by owner
        (a range of fingerprints), about 5 bytes each. A text that a third of all
-       rows hold is sent once per block.
+       rows hold is sent once per block. Hashes and ids stay at home, in a
+       table of the shared folder that is bucketed by block.
     2. An owner decodes its messages and answers each with a bitmap of the
        fingerprints that came more than once.
-    3. The bitmaps meet the blocks; rows with a hit, or equal to another of
-       their block, are suspects.
+    3. The bitmaps go to the blocks, which aren't moved; rows with a hit, or equal to another of
+       their block, are suspects. All others are done.
     4. Only suspects are shuffled with their text and grouped by it, byte by
-       byte, with map-side combine. A filter of suspects' ids of at most 32 MB picks
-       them in the second scan; what it lets through beyond them is a group of
-       its own and changes nothing.
-
-    No row of text moves but those of suspects. Owners grow in number with
-    the rows, half a million fingerprints each. A null id sorts last: it stays
-    only where the whole group has none. Rows that repeat the smallest id are
-    all kept. An empty table gives an empty result.
+       byte, with map-side combine. Up to 33 million suspects a filter of their
+       ids (32 MB at most) picks them in the second scan, and what it lets through beyond
+       them is a group of its own and changes nothing; more are picked by
+       a shuffled semi-join on the id.
+
+    Owners grow in number with the rows, half a million fingerprints each. A null id
+    sorts last: it stays only where the whole group has none. Rows that repeat the
+    smallest id are all kept. Very long texts are hashed whole. An empty table gives an
+    empty result. Only id and text are read, so other columns can't clash.
     """
     spark = docs.sparkSession
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WS, " ")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("text"))
     rows = base.count()
     owner_bits = min(20, max(6, (rows // 500_000).bit_length()))
-    sent = stored(base.select("doc_id", F.sha2("text", 256).alias("sha")).mapInArrow(_send(owner_bits), _SENT), "fingerprints")
+    buckets = min(8192, max(8, rows // 500_000))
+    sha = F.unhex(F.sha2("text", 256))
+    sent = bucketed(base.select("doc_id", sha.alias("sha")).mapInArrow(_send(owner_bits), _SENT), "fingerprints", "block", buckets)
     answers = sent.select("block", "owner", "k", "n", "code").groupBy("owner").applyInPandas(_answer, "block string, owner int, hits binary")
-    home = sent.select("block", "owner", "n", "shas", "ids").join(answers, ["block", "owner"])
-    known = stored(home.select("n", "shas", "ids", "hits").mapInArrow(_receive, "sha string, ids array<bigint>, suspect boolean"), "known")
-
-    suspects = known.filter("suspect")
-    n = suspects.agg(F.sum(F.size("ids"))).first()[0] or 0
-    bits = min(FILTER_BITS, 1 << max(10, (8 * n).bit_length()))
-    hashes = [F.pmod(F.xxhash64(F.lit(i), "id"), F.lit(bits)) for i in (1, 2)]
-    marks = suspects.select(F.explode("ids").alias("id")).select(F.explode(F.array(*hashes)).alias("bit"))
-    marks = marks.groupBy(F.expr("shiftright(bit, 5)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("v"))
-    words = np.zeros(bits >> 5, np.uint32)
-    found = marks.toPandas()  # at most bits / 32 rows
-    words[found["word"].to_numpy(np.int64)] = found["v"].to_numpy(np.int64).astype(np.uint32)
-    held = spark.sparkContext.broadcast(words.tobytes())
-
-    @F.pandas_udf("boolean")
-    def maybe(a: pd.Series, b: pd.Series) -> pd.Series:
-        w = np.frombuffer(held.value, np.uint32)
-        out = np.ones(len(a), bool)
-        for x in (a.to_numpy(np.int64), b.to_numpy(np.int64)):
-            out &= (w[x >> 5] >> (x & 31).astype(np.uint32)) & 1 == 1
-        return pd.Series(out)
-
-    probe = [F.pmod(F.xxhash64(F.lit(i), F.col(id_col).cast("long")), F.lit(bits)) for i in (1, 2)]
-    picked = docs.filter(maybe(*probe)).select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("text"))
-    groups = picked.groupBy("text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = groups.select(F.sha2("text", 256).alias("sha"), "keep_id", "group_size")
+    # one row for each block, of a bit for each of its fingerprints: a join on the block alone finds the buckets in place
+    answers = answers.repartition(buckets, "block").groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("owner", "hits"))).alias("answers"))
+    home = sent.select("block", "owner", "n", "shas", "sizes", "ids").join(answers, "block").select("n", "shas", "sizes", "ids", F.element_at("answers", F.col("owner")).alias("hits"))
+    known = stored(home.mapInArrow(_receive, "sha binary, ids array<bigint>, suspect boolean"), "known")
+
+    suspects = known.filter("suspect")  # a hot text is one row per block, with its ids
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("text"))
+    groups = _picked(texts, suspects.select(F.explode("ids").alias("doc_id"))).groupBy("text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = groups.select(sha.alias("sha"), "keep_id", "group_size")
     met = suspects.join(groups, "sha").select("sha", "ids", "keep_id", "group_size")
     alone = known.filter(~F.col("suspect")).select("sha", "ids", F.get("ids", F.lit(0)).alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    out = met.unionByName(alone).select(F.explode("ids").alias("doc_id"), "keep_id", "group_size", F.col("sha").alias("text_sha256"))
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    out = met.unionByName(alone).select("sha", F.explode("ids").alias("doc_id"), "keep_id", "group_size")
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

@@ -15,9 +15,11 @@ from .common import stored
 from .components import components
 from .jaccard import jaccard_links, signature
 
-#: Buckets up to this size propose pairs; members of larger ones meet at midpoints.
+#: A cell of up to so many members proposes its pairs; a larger one is cut into finer cells.
 LIGHT = 32
-N_PIVOTS = 16
+#: Pivots that discard pairs, beside the 65 whose coordinates make the cells; the widths of the blocks of bits at each level.
+N_PIVOTS, WIDTHS = 16, (16, 8, 4, 2)
+_PAIRS = list(combinations(range(4), 2))
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -53,60 +55,103 @@ def _fingerprints(shingle: int, signed: bool):
     return run
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _pivots(n: int) -> list[int]:
-    """Reference fingerprints: the XXH64 of their numbers, as signed longs."""
-    return [int(np.uint64(xxhash.xxh64_intdigest(f"pivot {i}", 42)).view(np.int64)) for i in range(n)]
+    """Reference fingerprints that discard: the XXH64 of their numbers."""
+    return [xxhash.xxh64_intdigest(f"pivot {i}", 42) for i in range(n)]
+
+
+def _path() -> list[int]:
+    """Reference fingerprints that make cells: a first one, and those with its lowest 1, 2, ... 64 bits turned over."""
+    first = xxhash.xxh64_intdigest("first pivot", 42)
+    return [first ^ ((1 << i) - 1) for i in range(65)]
 
 
 def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def pivot_table(fps: DataFrame) -> DataFrame:
+    """``fps`` with ``near``, the Hamming distances to the 65 pivots of the path, and ``far``, those to the 16 that discard."""
+    distances = lambda refs: F.array(*[_distance(F.col("fp"), F.lit(_signed(r))).cast("byte") for r in refs])
+    return fps.select("*", distances(_path()).alias("near"), distances(_pivots(N_PIVOTS)).alias("far"))
+
+
+def _free(level: int) -> list[list[int]]:
+    """Per way to choose equal blocks at all levels before ``level``, the first bits of the four blocks that may still differ."""
+    ways = [[0, 16, 32, 48]]
+    for width in WIDTHS[1 : level + 1]:
+        ways = [[x for k in range(4) if k not in pair for x in (w[k], w[k] + width)] for w in ways for pair in _PAIRS]
+    return ways
+
+
+def _cells(rows: DataFrame, level: int) -> DataFrame:
+    """rows (fp, way, cell) of the pivot table -> six finer cells each: two of the four blocks that may still differ have all their coordinates in common."""
+    width = WIDTHS[level]
+    rows = pivot_table(rows)
+    first = F.get(F.lit(_free(level)), F.col("way"))
+    # the coordinate of a bit: the difference of the distances to the pivots before and behind it
+    steps = F.zip_with(F.slice("near", 2, 64), F.slice("near", 1, 64), lambda x, y: (x - y).cast("byte"))
+    block = lambda k: F.slice("steps", F.get("first", F.lit(k)) + 1, width)
+    rows = rows.select("*", steps.alias("steps"), first.alias("first"))
+    finer = [F.struct((F.col("way") * 6 + i).alias("way"), F.xxhash64("cell", F.lit(level * 6 + i), block(a), block(b)).alias("cell")) for i, (a, b) in enumerate(_PAIRS)]
+    return rows.select("fp", "far", F.explode(F.array(*finer)).alias("x")).select("fp", "far", "x.way", "x.cell")
+
+
+def candidates(members: DataFrame, radius: int, pivots: bool = True) -> DataFrame:
+    """Pairs (u, v) within cells, those discarded whose distances to some pivot differ by more than ``radius``: by the triangle inequality, no true pair goes."""
+    a, b = members.alias("a"), members.alias("b")
+    pairs = a.join(b, [F.col("a.cell") == F.col("b.cell"), F.col("a.fp") > F.col("b.fp")])
+    if pivots:
+        apart = F.array_max(F.zip_with("a.far", "b.far", lambda x, y: F.abs(x - y)))
+        pairs = pairs.filter(apart <= radius)
+    return pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+
+
 def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """Links (u, v) between distinct fingerprints ``fp`` that connect the same fingerprints as all pairs at ``radius`` or fewer bits.
-
-    Candidates share two of four 16-bit blocks, as at least two stay whole
-    when two bits differ. Buckets of two to 32 members propose their pairs: a pair is
-    discarded if its distances to any of the pivots, precomputed per
-    fingerprint, differ by more than the radius (the triangle inequality: no
-    true pair is lost), and survivors are verified bit by bit. So at most 16 pairs
-    a member arise. Members of larger buckets (many near copies) would make
-    pairs with the square of their number; they meet at midpoints instead: two
-    fingerprints differ by two bits or fewer exactly if some word is within one bit of
-    both, so each is listed at the 65 words around it and linked to the least
-    one listed there. Both ways are exact for radius 2.
+    """Links (u, v): all pairs of distinct fingerprints ``fp`` at ``radius`` or fewer bits.
+
+    A table holds each fingerprint's Hamming distances to pivots. The 65 pivots
+    of a path differ from the next in one bit, so the differences of
+    neighbouring distances are coordinates of one bit each, and those of a block
+    of bits tell its cell. Two differing bits leave at least two of four
+    blocks alone: a pair within the radius shares all coordinates of two blocks,
+    and meets in that cell. In cells of up to 32 members, pairs whose
+    distances to any of 16 further pivots differ by more than the radius are
+    discarded, and survivors are verified bit by bit: at most 16 pairs a
+    member and cell. A larger cell (many near copies) is cut the same way: its
+    32 bits that may differ are four blocks of 8, then of 4, then of 2. What is left
+    of them is 4 bits, so no cell stays above 16 members, and no pairs
+    arise with the square of a group.
     """
     if radius != 2:
-        raise ValueError("blocks and midpoints are laid out for a radius of 2")
-    pivots = _pivots(N_PIVOTS)
-    table = fps.select("fp", *[_distance(F.col("fp"), F.lit(p)).cast("byte").alias(f"d{i}") for i, p in enumerate(pivots)])
-    masks = [sum(0xFFFF << (16 * b) for b in pair) for pair in combinations(range(4), 2)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    key = F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("j"), F.col("fp").bitwiseAND(F.lit(m)).alias("x")) for i, m in enumerate(signed)])).alias("key")
-    keyed = table.select("*", key).select("fp", *[f"d{i}" for i in range(N_PIVOTS)], "key.j", "key.x")
-    sizes = keyed.groupBy("j", "x").agg(F.count("*").alias("n")).filter("n > 1")
-    members = stored(keyed.join(sizes, ["j", "x"]), "buckets")
-    light = members.filter(F.col("n") <= LIGHT)
-    a, b = light.alias("a"), light.alias("b")
-    near = F.lit(True)
-    for i in range(N_PIVOTS):
-        near = near & (F.abs(F.col(f"a.d{i}") - F.col(f"b.d{i}")) <= radius)
-    pairs = a.join(b, [F.col("a.j") == F.col("b.j"), F.col("a.x") == F.col("b.x"), F.col("a.fp") > F.col("b.fp"), near, _distance(F.col("a.fp"), F.col("b.fp")) <= radius])
-    pairs = pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    heavy = members.filter(F.col("n") > LIGHT).select("fp").distinct()
-    around = F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i)) for i in range(64)])).alias("mid")
-    listed = heavy.select("fp", around)
-    least = listed.groupBy("mid").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    hubs = listed.join(least, "mid").filter("fp <> v").select(F.col("fp").alias("u"), "v")
-    return pairs.unionByName(hubs)
+        raise ValueError("four blocks are laid out for a radius of 2")
+    rows = fps.select("fp", F.lit(0).alias("way"), F.lit(0).cast("long").alias("cell"))
+    links = None
+    for level in range(len(WIDTHS)):
+        cells = _cells(rows, level)
+        shared = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
+        members = stored(cells.join(shared, "cell"), "cells")
+        last = level + 1 == len(WIDTHS)
+        found = candidates(members if last else members.filter(F.col("n") <= LIGHT), radius)
+        found = found.filter(_distance(F.col("u"), F.col("v")) <= radius)
+        links = found if links is None else links.unionByName(found)
+        rows = members.filter(F.col("n") > LIGHT).select("fp", "way", "cell")
+        if last or rows.isEmpty():
+            return links
+    return links
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """One row per document: doc_id, fp (the 64 bits as a long), tie, component_id (the least id reachable).
 
     Texts are lower-cased in A-Z and cut into words at ASCII white space; the
-    shingles are ``shingle`` words, repeats included; null or blank texts have
-    the fingerprint 0 and link like any other. Equal fingerprints are one node
+    shingles are ``shingle`` words, repeats included, of the whole text however long; null or blank texts have
+    the fingerprint 0 and link like any other. An empty table gives an empty result. Only id and
+    text are read, so other columns can't clash. Repeated rows give a row each. Equal fingerprints are one node
     from here on, so exact copies cost nothing. ``tie`` is a hash of the text
     that tells rows with equal ids apart. A null id is larger than any other.
     With ``similarity`` (0.8 or more), texts whose five-word shingle sets have

@@ -14,8 +14,8 @@ from .common import stored
 from .components import components
 
 WORDS, LEAST = 5, 0.8
-#: A pair at a similarity of 0.8 shares none of the 32 keys with a probability of (1 - 0.8^4)^32 = 5e-8; above it with less.
-BANDS, ROWS = 32, 4
+#: A pair at a similarity of 0.8 shares none of the 24 keys with a probability of (1 - 0.8^4)^24 = 3e-6; above it with less.
+BANDS, ROWS = 24, 4
 #: Buckets up to this size propose all their pairs at once; texts wanted for verifying are found by broadcast up to so many.
 LIGHT, BROADCAST = 32, 1_000_000
 _RNG = np.random.default_rng(42)
@@ -26,12 +26,17 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def grams(text: str | None) -> np.ndarray:
-    """The XXH64 of a text's distinct five-word shingles, sorted; words as in the fingerprint, a shorter text is one shingle."""
+    """64-bit hashes of a text's distinct five-word shingles, sorted, mixed from the XXH64 of each word; words as in the fingerprint, a shorter text is one shingle."""
     w = (text or "").encode().translate(_LOWER).split()
     if not w:
         return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(w[i : i + WORDS]), 42) for i in range(max(1, len(w) - WORDS + 1))], np.uint64))
+    h = np.array([digest(x, 42) for x in w], np.uint64)
+    n = min(WORDS, len(h))
+    g = np.full(len(h) - n + 1, n, np.uint64)
+    for i in range(n):
+        g = (g ^ (g >> np.uint64(31))) * _MUL[i] + h[i : len(h) - n + 1 + i]
+    return np.unique((g ^ (g >> np.uint64(29))) * _MUL[WORDS])
 
 
 def keys(g: np.ndarray) -> np.ndarray:
@@ -58,7 +63,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         flat = np.frombuffer(b"".join(k.as_py() for k in b.column("keys")), np.int64)
         again = np.repeat(np.arange(b.num_rows), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(flat), *[b.column(c).take(pa.array(again)) for c in ("node", "fp", "size")]], names=["key", "node", "fp", "size"])
+        yield pa.RecordBatch.from_arrays([pa.array(flat), b.column("node").take(pa.array(again))], names=["key", "node"])
 
 
 def _verified(similarity: float) -> Callable:
@@ -101,12 +106,16 @@ def jaccard_links(rows: DataFrame, texts: DataFrame, known: DataFrame, similarit
     """
     if not LEAST <= similarity <= 1:
         raise ValueError(f"keys are laid out for a similarity of {LEAST} or more")
-    nodes = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = stored(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
     same = rows.select("node", F.col("fp").alias("u")).distinct().join(nodes.select("node", F.col("fp").alias("v")), "node").filter("u <> v").select("u", "v")
-    keyed = nodes.select("node", "fp", "size", "keys").mapInArrow(_unpacked, "key long, node long, fp long, size int")
-    keyed = stored(keyed, "keyed")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "fp", "size")).alias("least")).filter("n > 1")
-    members = stored(keyed.join(sizes, "key"), "members")
+    keyed = nodes.select("node", "keys").mapInArrow(_unpacked, "key long, node long")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
+    own = nodes.select("node", "fp", "size")
+    first = own.select(F.col("node").alias("at"), F.struct("node", "fp", "size").alias("least"))
+    shared = stored(shared.withColumnRenamed("least", "at").join(first, "at").drop("at"), "shared-keys")
+    # only what is in a bucket with others meets its fingerprint and size
+    members = keyed.join(shared, "key").join(own, "node").select("key", "node", "fp", "size", "n", "least")
+    members = stored(members, "members")
     light, heavy = members.filter(F.col("n") <= LIGHT), members.filter(F.col("n") > LIGHT)
     alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * similarity - 1e-9
     named = lambda a, b: [F.col(f"{a}.node").alias("a"), F.col(f"{b}.node").alias("b"), F.col(f"{a}.fp").alias("u"), F.col(f"{b}.fp").alias("v")]

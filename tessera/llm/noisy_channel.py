@@ -19,7 +19,10 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 BETWEEN = set(" .-_*'~^,")
 #: Log costs of the channel: a substitution, a sign dropped, a repetition undone.
 SUBSTITUTED, DROPPED, UNDONE = -1.2, -1.0, -0.3
+#: Log costs of a sign of LEET that stands for itself: inside a word, and where punctuation is at home (the ends).
+KEPT, PUNCTUATION = -5.0, -1.0
 _ODD = re.compile(r"[^\W\d_]")
+_SIGNS = re.compile(r"[^\w\s]")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _TAIL = re.compile(r"([^\w\s])\1{2,}$")
 SPACED = re.compile(r"(?<!\S)(?:[^\s] ){2,}[^\s](?!\S)")
@@ -91,7 +94,8 @@ def _lattice(word: str) -> list[list[tuple[str, float]]]:
         if c.isalpha():
             own = [(c * n, 0.0)] if n < 3 else [(c, UNDONE), (c * 2, UNDONE)]
         else:
-            own = [(" ", 0.0)]
+            sign = c in LEET and not c.isdigit()
+            own = [(" ", 0.0 if not sign else PUNCTUATION if c in "(!|+" and (i == 0 or j == len(word)) else KEPT * n)]
             if c in BETWEEN:
                 own.append(("", DROPPED))
             for x in LEET.get(c, ""):
@@ -125,13 +129,14 @@ def restore(word: str, lm: np.ndarray) -> str:
 
 
 def ambiguous(token: str) -> bool:
-    """Whether a token's lattice has more than one path that holds letters."""
-    return bool(_ODD.search(token)) and not token.isalpha() or bool(_RUN.search(token))
+    """Whether a token's lattice has a path of letters beside the token itself: letters with other characters, a run of letters, or signs that stand for letters alone."""
+    if _ODD.search(token):
+        return not token.isalpha() or bool(_RUN.search(token))
+    return sum(c in LEET for c in token) >= 2 and bool(_SIGNS.search(token))
 
 
 def plain(token: str, lm: np.ndarray) -> str:
-    """A token, restored if its lattice has more than one path; rows of one sign at its end are ornament, edge punctuation isn't disguise."""
+    """A token, restored if its lattice has more than one path. Rows of one sign at its end are ornament, and so is punctuation at its edges that stands for no letter; other edge signs go through the lattice."""
     t = _TAIL.sub("", token.lower())
-    t = t.strip(".,;:?\"'()[]{}<>|") if not t.isalpha() else t
-    t = t[:-1] if t.endswith("!") else t
+    t = t.strip(".,;:?\"')[]{}<>") if not t.isalpha() else t
     return restore(t, lm) if ambiguous(t) else t

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,11 +23,11 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def _shape(token: str) -> list[int]:
-    """Slots of a token: its form and its ends; few enough forms that each is seen often."""
+    """Slots of a token: its case, all its signs, its length, its beginning and the whole of it."""
     word = _LETTERS.search(token)
     case = "none" if not word else "upper" if len(word[0]) > 1 and word[0].isupper() else "title" if word[0][:1].isupper() else "lower"
-    tail = re.sub(r"\w", "", token)[-3:]
-    return [slot(f"case {case}"), slot(f"tail {tail}"), slot(f"long {min(len(token), 20)}"), slot(f"start {token[:3].lower()}")]
+    signs, n = re.sub(r"\w", "", token), len(token)
+    return [slot(f"case {case}"), slot(f"signs {signs}"), slot(f"long {n if n <= 20 else 20 + n.bit_length()}"), slot(f"start {token[:3].lower()}"), slot(f"token {token.lower()}")]
 
 
 def _whole(text: str, tokens: list[str]) -> list[int]:
@@ -85,6 +86,13 @@ def _score(held):
     return run
 
 
+def _shift(labelled: DataFrame, drawn: pd.Series) -> float:
+    """What the log odds of good in the corpus have over those in the sample."""
+    n, good = labelled.agg(F.count("*"), F.sum(F.round("posterior", 9).cast("decimal(38,9)")).cast("double")).first()
+    odds = lambda good, n: float(np.log((good + 0.5) / (n - good + 0.5)))
+    return odds(good or 0.0, n) - odds(float(drawn.sum()), len(drawn))
+
+
 def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, score (0 to 1, higher: better).
 
@@ -94,10 +102,12 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     logistic scorer over hashed token forms and measures of the text is fitted
     to the posteriors of at most ``sample`` documents, half of them from either
     side of 0.5 if there are as many, the first by a hash of id and text; it
-    scores every text whole.
+    scores every text whole, however long. As the halves aren't the shares of the corpus, the
+    scorer's bias is moved by the difference of their log odds: 0.5 is even odds in the corpus.
 
     Null text has no words. Repeated rows count each. An empty table gives an
-    empty result. The driver sees vote patterns (3^12 at most) and the sample.
+    empty result. Equal rows have equal scores. The driver sees vote patterns (3^12 at most) and the sample, one row per
+    id and text. Only id and text are read, so other columns can't clash.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     spark = docs.sparkSession
@@ -112,7 +122,9 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sides = [labelled.filter(x).dropDuplicates(["order"]).orderBy("order").limit(sample // 2) for x in (F.col("posterior") >= 0.5, F.col("posterior") < 0.5)]
     chosen = sides[0].unionByName(sides[1])
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("order", mark)
-    rows = base.join(F.broadcast(chosen.select("order", "posterior")), "order").select("order", "posterior", "text").mapInArrow(_features, "order long, posterior double, at binary, v binary").toPandas()
-    rows = rows.drop_duplicates("order").sort_values("order")
+    drawn = base.join(F.broadcast(chosen.select("order", "posterior")), "order").groupBy("order", "posterior").agg(F.min("text").alias("text"))
+    rows = drawn.mapInArrow(_features, "order long, posterior double, at binary, v binary").toPandas()
+    rows = rows.sort_values("order")
     weights, bias = fit([(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32), float(t)) for a, v, t in zip(rows["at"], rows["v"], rows["posterior"], strict=True)])
+    bias += _shift(labelled, rows["posterior"])
     return base.select("doc_id", "text").mapInArrow(_score(spark.sparkContext.broadcast((weights, bias))), "doc_id long, score double")

@@ -22,7 +22,8 @@ STEADY, SPARSE = 120, 5e-3
 
 
 def _slots(word: str) -> list[int]:
-    return [slot(f"{k}{word[:k]}") for k in PREFIXES if len(word) >= k]
+    """Slots of a word: the whole of it, and its beginnings, which forms of one stem share."""
+    return [slot(f"={word}"), *[slot(f"{k}{word[:k]}") for k in PREFIXES if len(word) >= k]]
 
 
 def _tokens(text: str, lm: np.ndarray) -> Iterator[str]:
@@ -84,19 +85,24 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     over all texts. Tokens with leetspeak, signs between letters, spaced
     letters or letters repeated three times and more become lattices, decoded by Viterbi under the model
     and a channel's costs; all other tokens have a single path and stay. The
-    scorer is logistic with L1 over hashed word prefixes of the restored text, fitted
-    on at most ``sample`` rows of ``labels``, the first by a hash of the id;
-    every text is scored whole. Only the text is an input of a score.
-
-    Null text and a text without words get the scorer's bias. Without usable
-    labels (none, or null ones) the score is 0.5. Repeated rows are scored each.
+    scorer is logistic with L1 over hashed words of the restored text, whole and by their beginnings, fitted
+    on at most ``sample`` labelled documents, the first by a hash of the id;
+    every text is scored whole, however long. Only the text is an input of a score.
+
+    Null text and a text without words get the scorer's bias. Labels that clash for one id
+    count as the highest of them; of texts that share an id, the one with the least hash is fitted; labels without a document
+    are not drawn. So the driver gets ``sample`` rows at most. Without usable
+    labels (none, or null ones) the score is 0.5. Repeated rows are scored each. Equal texts have equal scores. An
+    empty table gives an empty result. Only id, text and label are read, so other columns can't clash.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
     lm = language_model(d)
     chosen = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
-    chosen = chosen.dropDuplicates(["doc_id"]).orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(sample)
-    rows = d.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_features(spark.sparkContext.broadcast(lm)), "doc_id long, toxic int, at binary, v binary").toPandas()
+    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(d.select("doc_id"), "doc_id", "left_semi")
+    chosen = chosen.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(sample)
+    fitted = d.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
+    rows = fitted.select("doc_id", "toxic", "x.text").mapInArrow(_features(spark.sparkContext.broadcast(lm)), "doc_id long, toxic int, at binary, v binary").toPandas()
     rows = rows.sort_values(["doc_id", "toxic"], kind="stable")
     weights, bias = fit([(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32), float(t)) for a, v, t in zip(rows["at"], rows["v"], rows["toxic"], strict=True)], l1=SPARSE)
     return d.mapInArrow(_scores(spark.sparkContext.broadcast((lm, weights, bias))), "doc_id long, score double")

@@ -1,21 +1,15 @@
-"""Best-fit packing of token sequences by a plan on the driver over counts by length.
-
-This isn't the method of bulk-synchronous sweeps (documents and gaps
-range-sorted, distributed successor sweeps, conflicts by rank): pieces of one
-length are interchangeable, so counts by length, whose number the capacity
-bounds, decide the whole packing, and a sequential best-fit-decreasing loop
-over them needs no rounds over documents and meets no conflicts.
-"""
+"""Bulk-synchronous best-fit packing: rounds of range sort, successor sweeps, matches by rank, and updated gaps."""
 
 from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,62 +17,13 @@ from pyspark.sql import Window as W
 from .common import stored
 from .tokens import ids_of
 
-#: Parts in which the documents of one length are ranked, each by one task.
-PARTS = 64
+#: Documents and gaps that one task sweeps; most rounds.
+ROWS, MOST_ROUNDS = 200_000, 400
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-
-
-def sweeps(counts: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """The packing of ``counts[length]`` documents of each length: matches (length, first rank, documents, first sequence, offset).
-
-    Documents of one length are interchangeable up to their rank, and so are
-    sequences with one gap; both are held as runs, ordered by length and by
-    gap. A sweep takes the next length, longest first, and its successor, the
-    least gap that holds it. The documents and the gaps of the two runs are
-    matched by rank: as many layers as a gap holds, the n-th document of a
-    layer in the n-th gap. Then gaps are updated, and the sweeps go on till
-    no document is left. This is best-fit decreasing over all documents,
-    while the state is bounded by the capacity and not by their number.
-    """
-    gaps: list[int] = []
-    runs: dict[int, list[tuple[int, int]]] = {}
-    out, fresh = [], 0
-
-    def free(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in runs:
-                runs[gap] = []
-                insort(gaps, gap)
-            runs[gap].append((first, n))
-
-    for length in range(capacity, 0, -1):
-        left, rank = int(counts[length]), 0
-        while left:
-            at = bisect_left(gaps, length)
-            if at < len(gaps):
-                gap = gaps[at]
-                first, n = runs[gap].pop()
-                if not runs[gap]:
-                    del runs[gap]
-                    gaps.pop(at)
-            else:
-                gap, n = capacity, -(-left // (capacity // length))
-                first, fresh = fresh, fresh + n
-            layers = gap // length
-            used = min(n, -(-left // layers))
-            free(gap, first + used, n - used)
-            filled = used
-            for layer in range(layers):
-                m = min(used, left)
-                if m < filled:
-                    free(gap - layer * length, first + m, filled - m)
-                    filled = m
-                if not m:
-                    break
-                out.append((length, rank, m, first, capacity - gap + layer * length))
-                left, rank = left - m, rank + m
-            free(gap - layers * length, first, filled)
-    return out
+#: What becomes of a row of a sweep: a placed document, a document or an untouched gap that is left, a gap that has changed.
+PLACED, DOC, GAP, CHANGED = range(4)
+_SWEPT = "role int, part int, rank long, id long, size long, sequence_id long, offset long"
+_MATCHED = "role int, part int, slot long, id long, size long, mine long"
 
 
 def _cut(path: str, capacity: int):
@@ -104,51 +49,220 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: st
     return d.mapInArrow(_cut(tokenizer, capacity), _PIECES)
 
 
+def _sweep(capacity: int):
+    """A task's successor sweep over its range of documents and gaps (kind 0: gap), by falling size: each document takes the least gap seen that holds it, and what is left of it is a gap again.
+
+    The first range has the largest gaps of all, so its documents without a gap open sequences. Elsewhere they are left, by rank.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        held: dict[int, list[tuple[int, int]]] = {}  # gap -> (sequence, 1 if untouched)
+        sizes: list[int] = []
+        docs = 0
+
+        def push(size: int, seq: int, fresh: int) -> None:
+            if size not in held:
+                held[size] = []
+                insort(sizes, size)
+            held[size].append((seq, fresh))
+
+        def rows(cols: list[tuple]) -> pa.RecordBatch:
+            t = np.array(cols, np.int64).reshape(-1, 7)
+            kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array(t[:, i]).cast(k) for i, k in enumerate(kinds)], names=["role", "part", "rank", "id", "size", "sequence_id", "offset"])
+
+        for b in batches:
+            out = []
+            for size, kind, own in zip(b.column("size").to_pylist(), b.column("kind").to_pylist(), b.column("id").to_pylist(), strict=True):
+                if kind == 0:
+                    push(size, own, 1)
+                    continue
+                at = bisect_left(sizes, size)
+                if at < len(sizes):
+                    gap = sizes[at]
+                    seq, _ = held[gap].pop()
+                    if not held[gap]:
+                        del held[gap]
+                        sizes.pop(at)
+                elif part == 0:
+                    gap, seq = capacity, own
+                else:
+                    out.append((DOC, part, docs, own, size, -1, -1))
+                    docs += 1
+                    continue
+                out.append((PLACED, part, -1, own, size, seq, capacity - gap))
+                if gap > size:
+                    push(gap - size, seq, 0)
+            if out:
+                yield rows(out)
+        gaps = 0
+        for size in sizes:  # the least, which the last documents reach first, has rank 0
+            out = []
+            for seq, fresh in held[size]:
+                out.append((GAP if fresh else CHANGED, part, gaps if fresh else -1, seq, size, seq, -1))
+                gaps += fresh
+            yield rows(out)
+
+    return run
+
+
+class Match(NamedTuple):
+    """Documents ``first`` to ``end`` by rank of range ``docs``, ``each`` to a gap: to the gaps of range ``gaps`` from rank ``at`` on, or to new sequences (gaps = -1)."""
+
+    docs: int
+    first: int
+    end: int
+    each: int
+    gaps: int
+    at: int
+
+
+def match_ranges(docs: list[tuple[int, int, int, int, int]], gaps: list[tuple[int, int, int]], capacity: int, largest_changed: int) -> list[Match]:
+    """The matches between what sweeps have left: docs (range, documents, least, largest, sum of sizes), gaps (range, gaps, least size).
+
+    Ranges fall in size, so a document's successor is a gap of the nearest range
+    before its own that has one left; conflicts are settled by rank. A gap takes as many documents as surely
+    fit. Documents larger than all gaps open sequences, but only those of the next sizes down that
+    no sequence opened now has room for, and no more than all that is left would fill: the rest fill what they leave.
+    """
+    out, stack = [], []
+    before = {p: (n, least) for p, n, least in gaps}
+    left: list[list[int]] = []
+    order = sorted({x[0] for x in docs} | set(before))
+    own = {p: x for p, *x in docs}
+    for p in order:
+        if p in own:
+            n, few, most, total = own[p]
+            at = 0
+            while at < n and stack:
+                q, used, have, least = stack[-1]
+                each = max(1, least // most)
+                take = min(have - used, -(-(n - at) // each))
+                end = min(n, at + take * each)
+                out.append(Match(p, at, end, each, q, used))
+                at = end
+                stack[-1][1] += take
+                if stack[-1][1] == have:
+                    stack.pop()
+            if at < n:
+                left.append([p, at, n, few, most, -(-total * (n - at) // n)])
+        if p in before:
+            n, least = before[p]
+            stack.append([p, 0, n, least])
+    largest_gap = max([largest_changed, *[s[3] for s in stack]])
+    budget = max(1, -(-sum(x[5] for x in left) // capacity))
+    top = max((x[4] for x in left), default=0)
+    for p, at, n, few, most, _ in left:
+        over = max(largest_gap, min(capacity // (capacity // top + 1), top * 4 // 5))
+        if most <= over or not budget:
+            break
+        each = capacity // most
+        n = at + max(1, (n - at) * (most - max(over, few - 1)) // (most - few + 1))  # about as many as are larger
+        bins = min(budget, -(-(n - at) // each))
+        out.append(Match(p, at, min(n, at + bins * each), each, -1, 0))
+        budget -= bins
+    return out
+
+
+def _apply(plan: list[Match]):
+    """Rows of a sweep with the rank of the gap (or new sequence) that they meet in; those without a match keep ``mine`` = -1."""
+    cols = np.array(plan, np.int64).reshape(-1, 6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_doc = cols[np.lexsort((cols[:, 1], cols[:, 0]))]
+        real = cols[cols[:, 4] >= 0]
+        ends = {int(q): int(max(a + -(-(e - f) // n) for _, f, e, n, g, a in real if g == q)) for q in np.unique(real[:, 4])}
+        starts = {int(p): np.flatnonzero(by_doc[:, 0] == p) for p in np.unique(by_doc[:, 0])}
+        for b in batches:
+            role, part, rank = (b.column(c).to_numpy().astype(np.int64) for c in ("role", "part", "rank"))
+            meets, mine, slot = np.full(len(role), -1, np.int64), np.full(len(role), -1, np.int64), np.zeros(len(role), np.int64)
+            for p in np.unique(part).tolist():
+                gap = np.flatnonzero((part == p) & (role == GAP))
+                hit = gap[rank[gap] < ends.get(p, 0)]
+                meets[hit], mine[hit] = p, rank[hit]
+                doc = np.flatnonzero((part == p) & (role == DOC))
+                if p not in starts or not len(doc):
+                    continue
+                m = by_doc[starts[p]]
+                k = np.searchsorted(m[:, 1], rank[doc], side="right") - 1
+                ok = (k >= 0) & (rank[doc] < m[k, 2])
+                doc, k = doc[ok], k[ok]
+                step = rank[doc] - m[k, 1]
+                fresh = m[k, 4] < 0
+                meets[doc] = np.where(fresh, -1 - p, m[k, 4])
+                mine[doc] = np.where(fresh, rank[doc] - step % m[k, 3], m[k, 5] + step // m[k, 3])
+                slot[doc] = 1 + step % m[k, 3]
+            yield pa.RecordBatch.from_arrays([b.column("role"), pa.array(meets).cast(pa.int32()), pa.array(slot), b.column("id"), b.column("size"), pa.array(mine)], names=["role", "part", "slot", "id", "size", "mine"])
+
+    return run
+
+
 def best_fit(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """``pieces`` (doc_id, piece, length, ids_crc32 and others) with sequence_id and offset.
+    """``pieces`` (length of 1 to ``capacity``, and others) with sequence_id and offset.
+
+    Pieces of the full capacity are sequences by themselves. All others go through rounds:
+
+    1. documents and gaps are range-sorted together by falling size, some 200 000 to a task;
+    2. each task sweeps its range: a document takes the least gap that holds it;
+    3. what is left is matched across ranges by rank: from three numbers of each range, the driver
+       finds which ranks of documents meet which ranks of gaps in a range before them, or open sequences;
+    4. gaps are updated, those too small for any document are closed, and rounds are repeated till every document has its place.
 
-    Pieces get a rank among those of their length: each length in 64 parts by
-    hash, so that a length which a third of all pieces has is no single
-    task's work. The driver sees at most 64 * capacity counts, whatever the
-    input, and makes the sweeps over runs of equal length; each piece finds
-    its match by its rank. Pieces equal in all these columns are interchangeable.
+    A round places a document in each gap that some document fits, or lowers the
+    largest size that is left by a fifth, so their number doesn't grow with the documents. A table of one range is swept once, which is
+    best-fit decreasing. Only (number, size) of a piece moves. A sequence has the number
+    of the piece that opened it. Columns of ``pieces`` named sequence_id or offset give way.
     """
-    spark = pieces.sparkSession
-    d = pieces.withColumn("__pk_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int"))
-    base = np.zeros((capacity + 1, PARTS), np.int64)
-    for length, part, n in d.groupBy("length", "__pk_part").count().collect():
-        base[length, part] = n
-    counts = base.sum(axis=1)
-    base = np.cumsum(base, axis=1) - base
-    every = np.array(sweeps(counts, capacity), np.int64).reshape(-1, 5)
-    every = every[np.lexsort((every[:, 1], every[:, 0]))]
-    plan = {int(own[0, 0]): (own[:, 1], own[:, 3], own[:, 4]) for own in np.split(every, np.flatnonzero(np.diff(every[:, 0])) + 1) if len(own)}
-    held = spark.sparkContext.broadcast((base, plan))
-    order = W.partitionBy("length", "__pk_part").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = d.withColumn("__pk_rank", F.row_number().over(order))
-
-    @F.pandas_udf("sequence_id long, offset long")
-    def where(length: pd.Series, part: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        base, plan = held.value
-        n, rank = length.to_numpy(np.int64), rank.to_numpy(np.int64) - 1
-        rank = rank + base[n, part.to_numpy(np.int64)]
-        seq, off = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
-        for x in np.unique(n):
-            at = np.flatnonzero(n == x)
-            first, to, place = plan[int(x)]
-            m = np.searchsorted(first, rank[at], side="right") - 1
-            seq[at], off[at] = to[m] + rank[at] - first[m], place[m]
-        return pd.DataFrame({"sequence_id": seq, "offset": off})
-
-    out = ranked.withColumn("__pk_at", where("length", "__pk_part", "__pk_rank"))
-    return out.select(*pieces.columns, "__pk_at.sequence_id", "__pk_at.offset")
+    own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    d = stored(pieces.select(*own, F.monotonically_increasing_id().alias("__pk_id")), "numbered")
+    short = F.col("length") < capacity
+    docs = d.filter(short).select(F.col("length").cast("long").alias("size"), F.lit(1).alias("kind"), F.col("__pk_id").alias("id"))
+    placed, gaps = [], None
+    for _ in range(MOST_ROUNDS):
+        n, least = docs.agg(F.count("*"), F.min("size")).first()
+        if not n:
+            break
+        rows = docs if gaps is None else docs.unionByName(gaps.filter(F.col("size") >= least))
+        tasks = -(-(n if gaps is None else rows.count()) // ROWS)
+        order = [F.col("size").desc(), F.col("kind"), F.xxhash64("id"), F.col("id")]
+        swept = stored(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(_sweep(capacity), _SWEPT), "swept")
+        placed.append(swept.filter(F.col("role") == PLACED).select("id", "sequence_id", "offset"))
+        sums = swept.filter(F.col("role") != PLACED).groupBy("role", F.when(F.col("role") == CHANGED, -1).otherwise(F.col("part")).alias("part"))
+        sums = [tuple(r) for r in sums.agg(F.count("*"), F.min("size"), F.max("size"), F.sum("size")).collect()]  # two rows of each range
+        open_docs = [(p, k, low, high, total) for role, p, k, low, high, total in sums if role == DOC]
+        if not open_docs:
+            break
+        changed = max((high for role, _, _, _, high, _ in sums if role == CHANGED), default=0)
+        plan = match_ranges(open_docs, [(p, k, low) for role, p, k, low, _, _ in sums if role == GAP], capacity, changed)
+        met = stored(swept.filter(F.col("role").isin(DOC, GAP)).mapInArrow(_apply(plan), _MATCHED), "met")
+        together = W.partitionBy("part", "mine").orderBy("slot")
+        head = F.first(F.struct("role", "id", "size")).over(together)
+        size = F.when(F.col("role") == DOC, F.col("size")).otherwise(0)
+        filled = F.when(head["role"] == GAP, capacity - head["size"]).otherwise(0) + F.sum(size).over(together)
+        pairs = stored(met.filter("mine >= 0").select("role", "id", head["id"].alias("sequence_id"), (filled - size).alias("offset"), (capacity - filled).alias("left"), (F.lead("slot").over(together)).isNull().alias("last")), "matched")
+        placed.append(pairs.filter(F.col("role") == DOC).select("id", "sequence_id", "offset"))
+        gap = lambda d, size, seq: d.select(F.col(size).cast("long").alias("size"), F.lit(0).alias("kind"), F.col(seq).alias("id")).filter("size > 0")
+        unmet = met.filter("mine < 0")
+        gaps = gap(pairs.filter("last"), "left", "sequence_id").unionByName(gap(unmet.filter(F.col("role") == GAP), "size", "id")).unionByName(gap(swept.filter(F.col("role") == CHANGED), "size", "id"))
+        docs = unmet.filter(F.col("role") == DOC).select("size", F.lit(1).alias("kind"), "id")
+    else:
+        raise RuntimeError(f"best_fit: documents are left after {MOST_ROUNDS} rounds")
+    full = d.filter(~short).select(*own, F.col("__pk_id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    if not placed:
+        return full
+    every = placed[0]
+    for p in placed[1:]:
+        every = every.unionByName(p)
+    return full.unionByName(d.filter(short).join(every, d["__pk_id"] == every["id"]).select(*own, "sequence_id", "offset"))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents in as few sequences of ``capacity`` tokens as best fit gets; one row per piece.
 
-    Null text is empty (the id 0 alone). Repeated rows are packed each. An
-    empty table gives an empty result. Texts are tokenized once, whole; from
-    there on only (id, piece, length, checksum) move.
+    Null text is empty (the id 0 alone). A null id stays null. Repeated rows are packed each; pieces of one
+    length are ordered by a hash of their number. Very long texts are cut in pieces, whole. An
+    empty table gives an empty result. Only id and text are read, so other columns can't clash.
+    Texts are tokenized once; from there on only (id, piece, length, checksum) move.
     """
-    return best_fit(stored(cut_pieces(docs, tokenizer, capacity, id_col, text_col), "pieces"), capacity)
+    return best_fit(cut_pieces(docs, tokenizer, capacity, id_col, text_col), capacity)

@@ -146,7 +146,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
-    """One row per document: doc_id, fp (the 64 bits as a long), tie, component_id (the least id reachable).
+    """One row per document: doc_id, fp (the 64 bits as a long), tie, component_id (the least id reachable), root (a fingerprint of the component).
 
     Texts are lower-cased in A-Z and cut into words at ASCII white space; the
     shingles are ``shingle`` words, repeats included, of the whole text however long; null or blank texts have
@@ -170,17 +170,18 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: s
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = stored(rooted, "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "tie", "component_id")
+    return rows.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "tie", "component_id", "root")
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """``docs`` with one row left of each group of near copies: the one with the least id.
 
-    Rows that repeat the least id stay together only if their texts are equal
-    too; of different texts under one id, the one with the least hash stays.
+    Rows that repeat the least id of a group stay together only if their texts are equal
+    too; of a group's different texts under one id, the one with the least hash stays. A null id is
+    larger than any other. Null and empty texts are one group.
     """
     groups = simhash_groups(docs, shingle, radius, id_col, text_col, similarity)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("tie").alias("__sh_tie"))
+    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min("tie").alias("__sh_tie")).drop("root")
     whole = docs.withColumn("__sh_tie", F.xxhash64(F.lit("tie"), F.coalesce(F.col(text_col), F.lit(""))))
     stay = stay.withColumnRenamed("component_id", "__sh_id")
     return whole.join(stay, whole[id_col].cast("long").eqNullSafe(stay["__sh_id"]) & (whole["__sh_tie"] == stay["__sh_tie"]), "left_semi").drop("__sh_tie")

@@ -20,10 +20,11 @@ from .tokens import ids_of
 #: Documents and gaps that one task sweeps; most rounds.
 ROWS, MOST_ROUNDS = 200_000, 400
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: What becomes of a row of a sweep: a placed document, a document or an untouched gap that is left, a gap that has changed.
-PLACED, DOC, GAP, CHANGED = range(4)
+#: What becomes of a row of a sweep: a placed document, a document that is left, a gap that holds any document of later ranges, a smaller gap; and a range's numbers.
+PLACED, DOC, GAP, SMALL, NUMBERS = range(5)
 _SWEPT = "role int, part int, rank long, id long, size long, sequence_id long, offset long"
-_MATCHED = "role int, part int, slot long, id long, size long, mine long"
+ALONE = -(1 << 40)
+_MATCHED = "role int, part long, slot long, id long, size long, mine long"
 
 
 def _cut(path: str, capacity: int):
@@ -57,15 +58,23 @@ def _sweep(capacity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        held: dict[int, list[tuple[int, int]]] = {}  # gap -> (sequence, 1 if untouched)
+        held: dict[int, list[int]] = {}  # gap -> sequences
         sizes: list[int] = []
-        docs = 0
+        docs, floor = 0, 0
+        seen: dict[int, list[int]] = {}  # role -> number, least, largest and sum of the sizes
 
-        def push(size: int, seq: int, fresh: int) -> None:
+        def note(role: int, size: int) -> None:
+            if role not in seen:
+                seen[role] = [1, size, size, size]
+                return
+            x = seen[role]
+            seen[role] = [x[0] + 1, min(x[1], size), max(x[2], size), x[3] + size]
+
+        def push(size: int, seq: int) -> None:
             if size not in held:
                 held[size] = []
                 insort(sizes, size)
-            held[size].append((seq, fresh))
+            held[size].append(seq)
 
         def rows(cols: list[tuple]) -> pa.RecordBatch:
             t = np.array(cols, np.int64).reshape(-1, 7)
@@ -75,13 +84,14 @@ def _sweep(capacity: int):
         for b in batches:
             out = []
             for size, kind, own in zip(b.column("size").to_pylist(), b.column("kind").to_pylist(), b.column("id").to_pylist(), strict=True):
+                floor = size
                 if kind == 0:
-                    push(size, own, 1)
+                    push(size, own)
                     continue
                 at = bisect_left(sizes, size)
                 if at < len(sizes):
                     gap = sizes[at]
-                    seq, _ = held[gap].pop()
+                    seq = held[gap].pop()
                     if not held[gap]:
                         del held[gap]
                         sizes.pop(at)
@@ -89,20 +99,25 @@ def _sweep(capacity: int):
                     gap, seq = capacity, own
                 else:
                     out.append((DOC, part, docs, own, size, -1, -1))
+                    note(DOC, size)
                     docs += 1
                     continue
                 out.append((PLACED, part, -1, own, size, seq, capacity - gap))
                 if gap > size:
-                    push(gap - size, seq, 0)
+                    push(gap - size, seq)
             if out:
                 yield rows(out)
         gaps = 0
         for size in sizes:  # the least, which the last documents reach first, has rank 0
             out = []
-            for seq, fresh in held[size]:
-                out.append((GAP if fresh else CHANGED, part, gaps if fresh else -1, seq, size, seq, -1))
-                gaps += fresh
+            role = GAP if size >= floor else SMALL
+            for seq in held[size]:
+                out.append((role, part, gaps if role == GAP else -1, seq, size, seq, -1))
+                note(role, size)
+                gaps += role == GAP
             yield rows(out)
+        if seen:
+            yield rows([(NUMBERS, part, role, *x) for role, x in seen.items()])
 
     return run
 
@@ -118,13 +133,12 @@ class Match(NamedTuple):
     at: int
 
 
-def match_ranges(docs: list[tuple[int, int, int, int, int]], gaps: list[tuple[int, int, int]], capacity: int, largest_changed: int) -> list[Match]:
+def match_ranges(docs: list[tuple[int, int, int, int, int]], gaps: list[tuple[int, int, int]], capacity: int, largest_small: int) -> list[Match]:
     """The matches between what sweeps have left: docs (range, documents, least, largest, sum of sizes), gaps (range, gaps, least size).
 
     Ranges fall in size, so a document's successor is a gap of the nearest range
     before its own that has one left; conflicts are settled by rank. A gap takes as many documents as surely
-    fit. Documents larger than all gaps open sequences, but only those of the next sizes down that
-    no sequence opened now has room for, and no more than all that is left would fill: the rest fill what they leave.
+    fit. Documents larger than all gaps open sequences, no more than all that is left would fill: the rest fill what they leave.
     """
     out, stack = [], []
     before = {p: (n, least) for p, n, least in gaps}
@@ -150,15 +164,13 @@ def match_ranges(docs: list[tuple[int, int, int, int, int]], gaps: list[tuple[in
         if p in before:
             n, least = before[p]
             stack.append([p, 0, n, least])
-    largest_gap = max([largest_changed, *[s[3] for s in stack]])
+    largest_gap = max([largest_small, *[s[3] for s in stack]])
     budget = max(1, -(-sum(x[5] for x in left) // capacity))
-    top = max((x[4] for x in left), default=0)
     for p, at, n, few, most, _ in left:
-        over = max(largest_gap, min(capacity // (capacity // top + 1), top * 4 // 5))
-        if most <= over or not budget:
+        if most <= largest_gap or not budget:
             break
         each = capacity // most
-        n = at + max(1, (n - at) * (most - max(over, few - 1)) // (most - few + 1))  # about as many as are larger
+        n = at + max(1, (n - at) * (most - max(largest_gap, few - 1)) // (most - few + 1))  # about as many as are larger
         bins = min(budget, -(-(n - at) // each))
         out.append(Match(p, at, min(n, at + bins * each), each, -1, 0))
         budget -= bins
@@ -166,7 +178,7 @@ def match_ranges(docs: list[tuple[int, int, int, int, int]], gaps: list[tuple[in
 
 
 def _apply(plan: list[Match]):
-    """Rows of a sweep with the rank of the gap (or new sequence) that they meet in; those without a match keep ``mine`` = -1."""
+    """Rows of a sweep with the range and rank of the gap (or new sequence) that they meet in; those without a match stand alone, under a range below all others."""
     cols = np.array(plan, np.int64).reshape(-1, 6)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +188,7 @@ def _apply(plan: list[Match]):
         starts = {int(p): np.flatnonzero(by_doc[:, 0] == p) for p in np.unique(by_doc[:, 0])}
         for b in batches:
             role, part, rank = (b.column(c).to_numpy().astype(np.int64) for c in ("role", "part", "rank"))
-            meets, mine, slot = np.full(len(role), -1, np.int64), np.full(len(role), -1, np.int64), np.zeros(len(role), np.int64)
+            meets, mine, slot = ALONE - role, b.column("id").to_numpy().astype(np.int64), np.zeros(len(role), np.int64)
             for p in np.unique(part).tolist():
                 gap = np.flatnonzero((part == p) & (role == GAP))
                 hit = gap[rank[gap] < ends.get(p, 0)]
@@ -190,10 +202,10 @@ def _apply(plan: list[Match]):
                 doc, k = doc[ok], k[ok]
                 step = rank[doc] - m[k, 1]
                 fresh = m[k, 4] < 0
-                meets[doc] = np.where(fresh, -1 - p, m[k, 4])
+                meets[doc] = np.where(fresh, -10 - p, m[k, 4])
                 mine[doc] = np.where(fresh, rank[doc] - step % m[k, 3], m[k, 5] + step // m[k, 3])
                 slot[doc] = 1 + step % m[k, 3]
-            yield pa.RecordBatch.from_arrays([b.column("role"), pa.array(meets).cast(pa.int32()), pa.array(slot), b.column("id"), b.column("size"), pa.array(mine)], names=["role", "part", "slot", "id", "size", "mine"])
+            yield pa.RecordBatch.from_arrays([b.column("role"), pa.array(meets), pa.array(slot), b.column("id"), b.column("size"), pa.array(mine)], names=["role", "part", "slot", "id", "size", "mine"])
 
     return run
 
@@ -201,60 +213,77 @@ def _apply(plan: list[Match]):
 def best_fit(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """``pieces`` (length of 1 to ``capacity``, and others) with sequence_id and offset.
 
-    Pieces of the full capacity are sequences by themselves. All others go through rounds:
+    Pieces of the full capacity are sequences by themselves, and those over half of it open one each. All
+    others go through rounds, by classes of falling size (no two classes further than a half
+    apart), as in best-fit decreasing:
 
-    1. documents and gaps are range-sorted together by falling size, some 200 000 to a task;
+    1. the documents of the class and the gaps that may hold one are range-sorted together by falling size, some 200 000 to a task;
     2. each task sweeps its range: a document takes the least gap that holds it;
-    3. what is left is matched across ranges by rank: from three numbers of each range, the driver
+    3. what is left is matched across ranges by rank: from a few numbers of each range, the driver
        finds which ranks of documents meet which ranks of gaps in a range before them, or open sequences;
-    4. gaps are updated, those too small for any document are closed, and rounds are repeated till every document has its place.
+    4. gaps are updated, and rounds are repeated with what is left and the next class, till every document has its place.
 
-    A round places a document in each gap that some document fits, or lowers the
-    largest size that is left by a fifth, so their number doesn't grow with the documents. A table of one range is swept once, which is
+    A document moves in the round of its class and, if it found no place, in the next ones. The number of rounds grows
+    with the logarithm of the capacity, not with the documents. Where all fit one range, its sweep is
     best-fit decreasing. Only (number, size) of a piece moves. A sequence has the number
     of the piece that opened it. Columns of ``pieces`` named sequence_id or offset give way.
     """
     own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     d = stored(pieces.select(*own, F.monotonically_increasing_id().alias("__pk_id")), "numbered")
-    short = F.col("length") < capacity
-    docs = d.filter(short).select(F.col("length").cast("long").alias("size"), F.lit(1).alias("kind"), F.col("__pk_id").alias("id"))
-    placed, gaps = [], None
+    size = F.col("length").cast("long")
+    count = {int(n): int(c) for n, c in d.groupBy(size).count().collect()}  # one row of each length
+    docs = d.select(size.alias("size"), F.lit(1).alias("kind"), F.col("__pk_id").alias("id"))
+    half = capacity // 2
+    alone = d.filter(size > half).select(*own, F.col("__pk_id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    # the gaps of each round, with the bound above which the next one has taken them
+    pool = [docs.filter((F.col("size") > half) & (F.col("size") < capacity)).select((capacity - F.col("size")).alias("size"), F.lit(0).alias("kind"), "id")]
+    n_gaps = sum(c for n, c in count.items() if half < n < capacity)
+    placed, carried, n_carried, largest, bound = [], None, 0, 0, half
     for _ in range(MOST_ROUNDS):
-        n, least = docs.agg(F.count("*"), F.min("size")).first()
-        if not n:
+        top = max([largest, *[n for n in count if n <= bound]])
+        if not top:
             break
-        rows = docs if gaps is None else docs.unionByName(gaps.filter(F.col("size") >= least))
-        tasks = -(-(n if gaps is None else rows.count()) // ROWS)
+        below = max(capacity // (capacity // top + 1), top * 7 // 10) if 8 * top > capacity else top // 2
+        n_docs = n_carried + sum(c for n, c in count.items() if below < n <= bound)
+        if n_docs + n_gaps <= ROWS:
+            below = 0  # one range holds all that is left: its sweep needs no classes
+            n_docs = n_carried + sum(c for n, c in count.items() if n <= bound)
+        low = min(below, bound)
+        rows = docs.filter((F.col("size") > low) & (F.col("size") <= bound))
+        if carried is not None:
+            rows = rows.unionByName(carried)
+        for k, g in enumerate(pool):
+            rows = rows.unionByName(g.filter((F.col("size") > low) & ((F.col("size") <= bound) | F.lit(k + 1 == len(pool)))))
         order = [F.col("size").desc(), F.col("kind"), F.xxhash64("id"), F.col("id")]
-        swept = stored(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(_sweep(capacity), _SWEPT), "swept")
+        tasks = -(-(n_docs + n_gaps) // ROWS)
+        ranges = rows.repartitionByRange(tasks, *order) if tasks > 1 else rows.coalesce(1)
+        swept = stored(ranges.sortWithinPartitions(*order).mapInArrow(_sweep(capacity), _SWEPT), "swept")
         placed.append(swept.filter(F.col("role") == PLACED).select("id", "sequence_id", "offset"))
-        sums = swept.filter(F.col("role") != PLACED).groupBy("role", F.when(F.col("role") == CHANGED, -1).otherwise(F.col("part")).alias("part"))
-        sums = [tuple(r) for r in sums.agg(F.count("*"), F.min("size"), F.max("size"), F.sum("size")).collect()]  # two rows of each range
-        open_docs = [(p, k, low, high, total) for role, p, k, low, high, total in sums if role == DOC]
-        if not open_docs:
-            break
-        changed = max((high for role, _, _, _, high, _ in sums if role == CHANGED), default=0)
-        plan = match_ranges(open_docs, [(p, k, low) for role, p, k, low, _, _ in sums if role == GAP], capacity, changed)
-        met = stored(swept.filter(F.col("role").isin(DOC, GAP)).mapInArrow(_apply(plan), _MATCHED), "met")
+        sums = [tuple(r) for r in swept.filter(F.col("role") == NUMBERS).select("rank", "part", "id", "size", "sequence_id", "offset").collect()]  # three rows of each range at most
+        left = [(p, n, few, most, total) for role, p, n, few, most, total in sums if role == DOC]
+        small = max((most for role, _, _, _, most, _ in sums if role == SMALL), default=0)
+        plan = match_ranges(left, [(p, n, few) for role, p, n, few, _, _ in sums if role == GAP], capacity, small)
         together = W.partitionBy("part", "mine").orderBy("slot")
         head = F.first(F.struct("role", "id", "size")).over(together)
-        size = F.when(F.col("role") == DOC, F.col("size")).otherwise(0)
-        filled = F.when(head["role"] == GAP, capacity - head["size"]).otherwise(0) + F.sum(size).over(together)
-        pairs = stored(met.filter("mine >= 0").select("role", "id", head["id"].alias("sequence_id"), (filled - size).alias("offset"), (capacity - filled).alias("left"), (F.lead("slot").over(together)).isNull().alias("last")), "matched")
-        placed.append(pairs.filter(F.col("role") == DOC).select("id", "sequence_id", "offset"))
-        gap = lambda d, size, seq: d.select(F.col(size).cast("long").alias("size"), F.lit(0).alias("kind"), F.col(seq).alias("id")).filter("size > 0")
-        unmet = met.filter("mine < 0")
-        gaps = gap(pairs.filter("last"), "left", "sequence_id").unionByName(gap(unmet.filter(F.col("role") == GAP), "size", "id")).unionByName(gap(swept.filter(F.col("role") == CHANGED), "size", "id"))
-        docs = unmet.filter(F.col("role") == DOC).select("size", F.lit(1).alias("kind"), "id")
+        filled = F.when(head["role"] == DOC, 0).otherwise(capacity - head["size"]) + F.sum(F.when(F.col("role") == DOC, F.col("size")).otherwise(0)).over(together)
+        met = swept.filter(F.col("role").isin(DOC, GAP, SMALL)).mapInArrow(_apply(plan), _MATCHED)
+        met = met.select("role", "id", "size", (F.col("part") == ALONE - DOC).alias("unmet"), head["id"].alias("sequence_id"), (filled - F.col("size")).alias("offset"), (capacity - filled).alias("left"), F.lead("slot").over(together).isNull().alias("last"))
+        met = stored(met, "met")
+        placed.append(met.filter((F.col("role") == DOC) & ~F.col("unmet")).select("id", "sequence_id", "offset"))
+        pool.append(met.filter("last and not unmet and left > 0").select(F.col("left").alias("size"), F.lit(0).alias("kind"), F.col("sequence_id").alias("id")))
+        n_gaps = sum(n for role, _, n, _, _, _ in sums if role in (GAP, SMALL)) + sum(-(-(m.end - m.first) // m.each) for m in plan if m.gaps < 0)
+        n_carried = sum(x[1] for x in left) - sum(m.end - m.first for m in plan)
+        carried = met.filter("unmet").select("size", F.lit(1).alias("kind"), "id") if n_carried else None
+        largest = max((x[3] for x in left), default=0) if n_carried else 0
+        bound = low
     else:
         raise RuntimeError(f"best_fit: documents are left after {MOST_ROUNDS} rounds")
-    full = d.filter(~short).select(*own, F.col("__pk_id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     if not placed:
-        return full
+        return alone
     every = placed[0]
     for p in placed[1:]:
         every = every.unionByName(p)
-    return full.unionByName(d.filter(short).join(every, d["__pk_id"] == every["id"]).select(*own, "sequence_id", "offset"))
+    return alone.unionByName(d.filter(size <= half).join(every, d["__pk_id"] == every["id"]).select(*own, "sequence_id", "offset"))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

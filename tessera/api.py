@@ -109,8 +109,7 @@ class Project:
         return self.imports().filter((m == module) | m.startswith(module + ".")).select("path").distinct()
 
     def search(self, pattern: str, context: int = 1, limit: int = 100) -> DataFrame:
-        d = self.files.select("path", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("pos", F.col("pos") + 1)
-        return S.line_search(d, pattern, "path", context, limit)
+        return S.line_search(self.files, pattern, "path", "text", context, limit)
 
     def structural(self, pattern: str) -> DataFrame:
         return structural.matches(self.files.filter("language = 'python'"), pattern)

@@ -143,8 +143,13 @@ def decision(ranked_hits: DataFrame) -> DataFrame:
     return top.select("first", "second", F.round(sure, 8).alias("confidence"), F.when(sure >= 0.6, "provide").when(F.col("first").isNull(), "skip").otherwise("offer").alias("decision"))
 
 
-def line_search(lines: DataFrame, pattern: str, id_col: str, context: int = 1, limit: int = 100) -> DataFrame:
-    """Lines that match a regular expression, with ``context`` lines either way, the first ``limit`` by document and position."""
-    w = W.partitionBy(id_col).orderBy("pos").rowsBetween(-context, context)
-    near = lines.withColumn("context", F.array_join(F.collect_list("line").over(w), "\n"))
-    return near.filter(F.rlike("line", F.lit(pattern))).select(id_col, "pos", "line", "context").orderBy(id_col, "pos").limit(limit)
+def line_search(docs: DataFrame, pattern: str, id_col: str, text_col: str = "text", context: int = 1, limit: int = 100) -> DataFrame:
+    """(id, pos, line, context): lines that match a regular expression, with ``context`` lines either way, the first ``limit`` by document and position.
+
+    Lines are matched inside the row, and only hits leave it; the limit keeps that many per task.
+    """
+    every = F.split(F.col(text_col), "\n")
+    near = lambda i: F.array_join(F.slice("lines", F.greatest(F.lit(1), i + 1 - context), F.least(i, F.lit(context)) + 1 + context), "\n")
+    found = F.filter(F.transform("lines", lambda x, i: F.when(F.rlike(x, F.lit(pattern)), F.struct((i + 1).cast("long").alias("pos"), x.alias("line"), near(i).alias("context")))), lambda h: h.isNotNull())
+    hits = docs.select(id_col, every.alias("lines")).select(id_col, F.explode(found).alias("h"))
+    return hits.select(id_col, "h.pos", "h.line", "h.context").orderBy(id_col, "pos").limit(limit)

@@ -382,13 +382,15 @@ def pck_09(spark: SparkSession, sf: str) -> DataFrame:
     return P.greedy(c, "pack", ["depth", "node"], "sid", "full", "sig", F.lit(40)).select("id", "choice")
 
 
-@query("src_51_embed", "SELECT count(*) AS n, CAST(count(*) FILTER (len(regexp_extract_all(lower(regexp_replace(text, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9]+')) > 0) AS BIGINT) AS unit FROM documents")
+@query("src_51_embed", r"""WITH t AS (SELECT doc_id, md5(unnest(regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '([a-z])([A-Z])', '\1 \2', 'g')), '[a-z0-9]+'))) AS h FROM documents),
+ s AS (SELECT doc_id, CAST('0x' || substring(h, 1, 4) AS INTEGER) % 64 AS slot, sum(CASE WHEN substring(h, 5, 1) < '8' THEN 1 ELSE -1 END) AS v FROM t GROUP BY ALL)
+ SELECT doc_id, CAST(slot AS BIGINT) AS slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS value FROM s QUALIFY v <> 0""")
 def src_51(spark: SparkSession, sf: str) -> DataFrame:
-    """A hashing embedder: signed token hashes summed in 64 slots, normalised; every text with a token has length 1."""
+    """A hashing embedder: signed token hashes summed in 64 slots, normalised; the slots that aren't zero."""
     from tessera.operators.embed import hashed_vectors
 
-    v = hashed_vectors(table(spark, sf, "documents"), "doc_id", "text")
-    return v.agg(F.count("*").alias("n"), F.count_if(F.abs(T.norm(F.col("embedding")) - 1) < 1e-9).alias("unit"))
+    v = hashed_vectors(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", F.posexplode("embedding").alias("slot", "value"))
+    return v.filter("value <> 0").select("doc_id", F.col("slot").cast("long").alias("slot"), F.round("value", 6).alias("value"))
 
 
 @query("src_55_lookup", _rows("symbol_id, start_line", ("b.py:Greeter.run", 4)))

@@ -38,6 +38,32 @@ def pck_04(spark: SparkSession, sf: str) -> DataFrame:
     return P.knapsack(b, "fn", 80)
 
 
+#: All sets of an order's blocks, by brute force: must-keep ones are paid for first, the best of the rest that fits is added.
+_SETS = """WITH b AS (SELECT l_orderkey AS fn, CAST(l_quantity AS INTEGER) AS cost, round(l_extendedprice / 1000, 1) AS score, l_returnflag = 'R' AS must, row_number() OVER (PARTITION BY l_orderkey, l_returnflag = 'R' ORDER BY l_linenumber) - 1 AS k FROM lineitem),
+ p AS (SELECT fn, coalesce(sum(cost) FILTER (must), 0) AS paid, coalesce(sum(score) FILTER (must), 0) AS had, count(*) FILTER (NOT must) AS n FROM b GROUP BY fn),
+ s AS (SELECT fn, paid, had, unnest(range(0, 1 << CAST(n AS INTEGER))) AS m FROM p),
+ v AS (SELECT s.fn, s.m, any_value(paid) AS paid, any_value(had) AS had, coalesce(sum(cost), 0) AS cost, coalesce(sum(score), 0) AS score FROM s LEFT JOIN b ON b.fn = s.fn AND NOT must AND (s.m >> CAST(k AS INTEGER)) & 1 = 1 GROUP BY s.fn, s.m)
+ SELECT fn, round(any_value(had) + max(score) FILTER (cost = 0 OR paid + cost <= {budget}), 1) AS score, any_value(paid) <= {budget} AS musts_fit FROM v GROUP BY fn"""
+
+
+@query("pck_04_knapsack_totals", _SETS.format(budget=80))
+def pck_04_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """The score that the knapsack reaches, against all sets of blocks."""
+    ln = table(spark, sf, "lineitem")
+    own = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag"))
+    b = ln.select(F.col("l_orderkey").alias("fn"), own.alias("block"), F.col("l_quantity").cast("int").alias("cost"), F.round(F.col("l_extendedprice") / 1000, 1).alias("score"), (F.col("l_returnflag") == "R").alias("must"))
+    kept = P.knapsack(b, "fn", 80).join(b, ["fn", "block"])
+    score = F.round(F.sum(F.when(F.col("kept"), F.col("score")).otherwise(0.0)), 1)
+    return kept.groupBy("fn").agg(score.alias("score"), (F.coalesce(F.sum(F.when(F.col("must"), F.col("cost"))), F.lit(0)) <= 80).alias("musts_fit"))
+
+
+@query("pck_03_budget_again", "WITH RECURSIVE " + _FOLD.format(b=300000).replace("round(o_totalprice, 0) AS f", "round(o_totalprice * 1.1, 0) AS f") + " SELECT pack, r AS pos, id, choice, round(used, 4) AS used FROM w WHERE choice IN ('full', 'sig')")
+def pck_03(spark: SparkSession, sf: str) -> DataFrame:
+    """The budget once more over slices whose bodies were read anew and grew by a tenth."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("pack"), F.col("o_orderkey").alias("oid"), "o_orderdate", F.round(F.col("o_totalprice") * 1.1, 0).alias("full"), F.round(F.col("o_totalprice") / 10, 0).alias("sig"))
+    return P.greedy(o, "pack", ["o_orderdate", "oid"], "oid", "full", "sig", F.lit(300000))
+
+
 @query("pck_06_two_stage")
 def pck_06(spark: SparkSession, sf: str) -> DataFrame:
     ln = table(spark, sf, "lineitem")

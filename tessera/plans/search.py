@@ -86,7 +86,7 @@ def top_08(spark: SparkSession, sf: str) -> DataFrame:
 @query("prj_05_line_search", f"""WITH {LINES}, c AS (SELECT *, string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS context FROM v_lines)
  SELECT doc_id, pos, line, context FROM c WHERE regexp_matches(line, 'Licen[sc]e|token =') ORDER BY doc_id, pos LIMIT 100""")
 def prj_05(spark: SparkSession, sf: str) -> DataFrame:
-    return S.line_search(lines(spark, sf), "Licen[sc]e|token =", "doc_id")
+    return S.line_search(texts(spark, sf), "Licen[sc]e|token =", "doc_id")
 
 
 def _vectors(spark: SparkSession, sf: str, k: int) -> DataFrame:

@@ -187,6 +187,28 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch):
         assert {frozenset(g) for g in groups.values()} == want
 
 
+def test_ordered_sets_rule_out_no_similar_pair():
+    """Similar sets share a shingle of their beginnings whose places leave room for what they need, and their parities differ in no more bits than they do in shingles."""
+    r, seen = np.random.default_rng(5), 0
+    base = np.unique(r.integers(-(1 << 63), (1 << 63) - 1, 900))
+    often = r.permutation(base)[:300]
+    for _ in range(400):
+        core = r.permutation(base)[: r.integers(1, 300)]
+        sets = [np.unique(np.concatenate([core[r.random(len(core)) > x], r.integers(-(1 << 63), (1 << 63) - 1, r.integers(0, 1 + len(core) // 6))])) for x in r.random(2) * 0.15]
+        sets = [x if len(x) else core for x in sets]
+        a, b = sets
+        both = len(np.intersect1d(a, b))
+        odd = [np.frombuffer(jaccard.parities(x), np.int64) for x in sets]
+        assert sum(int(x).bit_count() for x in (odd[0] ^ odd[1]).view(np.uint64)) <= len(a) + len(b) - 2 * both
+        if both < 0.8 * (len(a) + len(b) - both):
+            continue
+        seen += 1
+        p, q = (jaccard.prefix(x, often, 0.8).tolist() for x in sets)
+        need = math.ceil(0.8 / 1.8 * (len(a) + len(b)) - 1e-9)
+        assert any(min(len(a) - p.index(x), len(b) - q.index(x)) >= need for x in p if x in q)
+    assert seen > 50
+
+
 @pytest.mark.parametrize("light", [32, 2])
 def test_near_copies_beyond_two_bits_go(spark, monkeypatch, light):
     """Groups by five-word Jaccard similarity against all pairs in plain Python: chains, hubs and texts just under 0.8, in small and in large buckets."""

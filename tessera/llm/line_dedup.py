@@ -37,12 +37,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     k1, k2 = key128(F.col(id_col), text)
     lines = F.split(text, "\n", -1)
 
-    def keyed(line):
-        key = ascii_lower(F.btrim(line, F.lit(WS_CHARS)))
+    def hashed(key):
         a, b = key128(key)
-        return F.when(F.length(key) >= min_chars, F.struct(a.alias("a"), b.alias("b")))
+        return F.when(key.isNotNull(), F.struct(a.alias("a"), b.alias("b")))
 
-    rows = stored(docs.select(k1.alias("k1"), k2.alias("k2"), F.col(id_col).alias("id"), F.transform(lines, keyed).alias("keys")).filter(F.exists("keys", lambda x: x.isNotNull())), "lines")
+    # step by step, as nothing inside one function is shared: each line is stripped, lowered and hashed once
+    stripped = F.transform(lines, lambda x: F.btrim(x, F.lit(WS_CHARS)))
+    keys = F.transform(F.transform(stripped, lambda x: F.when(F.length(x) >= min_chars, ascii_lower(x))), hashed)
+    rows = stored(docs.select(k1.alias("k1"), k2.alias("k2"), F.col(id_col).alias("id"), keys.alias("keys")), "lines")
     # a null id is told apart by a flag, so that it counts as a document
     records = rows.select("k1", "k2", F.col("id").isNotNull().alias("named"), "id", F.posexplode("keys").alias("pos", "key")).filter(F.col("key").isNotNull())
     records = records.select("k1", "k2", "named", "id", "pos", "key.a", "key.b")
